@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from millrace.llm import decontaminate
 from millrace.llm.token_files import op1_token_files
 
-QUERIES = {"op1_token_files": op1_token_files}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
 
 
 def queries() -> dict:
