@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, mixing, sharding
 from millrace.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_mix": mixing.op6_mix,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE,
+    "op6_mix": mixing.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
 
 
 def queries() -> dict:
