@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, mixing, sharding
+from millrace.llm import decontaminate, jaccard_join, mixing, sharding
 from millrace.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_mix": mixing.op6_mix,
 }
