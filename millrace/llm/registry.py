@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, jaccard_join, mixing, sharding
+from millrace.llm import decontaminate, jaccard_join, mixing, quality, sharding, toxicity
 from millrace.llm.token_files import op1_token_files
 
 QUERIES = {
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_mix": mixing.op6_mix,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.ORACLE,
