@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, jaccard_join, mixing, quality, sharding, toxicity
+from millrace.llm import decontaminate, jaccard_join, mixing, neighbours, quality, sharding, toxicity
 from millrace.llm.token_files import op1_token_files
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_mix": mixing.op6_mix,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
