@@ -14,6 +14,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +145,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _clean(shared):
+    def run(batches):
+        automaton = _automaton(shared)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not find(automaton, t)[1] for t in texts], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = WINDOWS_PER_PASS) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no window of an item."""
+    for k, windows in enumerate(window_passes(items, size, limit)):
+        shared = docs.sparkSession.sparkContext.broadcast({"key": (id(items), k, hash(frozenset(windows))), "windows": windows})
+        docs = docs.mapInArrow(_clean(shared), docs.schema)
+    return docs
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate(docs, items).drop("items", "spans")

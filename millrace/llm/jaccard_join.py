@@ -264,5 +264,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return rows.unionByName(lost)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each class, all its columns; rows without id stay."""
+    named = jaccard_classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(stage_table(named, "kept-ids"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))

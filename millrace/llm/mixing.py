@@ -23,18 +23,18 @@ PIECES, LEAST = 4096, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def narrow_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, quality weight and the key of each document.
+def narrow_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size in words, quality weight and the key of each document, and columns named by more.
 
     The weight falls as the mean word length leaves the usual 6 characters; it is 1 at most
     and above 0. The key depends on id and weight alone, so that reruns agree.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = docs.select("doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    narrow = docs.select(*more, "doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
     mean = F.col("chars") / F.greatest(F.col("size"), F.lit(1))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
     narrow = narrow.withColumn("weight", 1.0 / (1.0 + F.abs(mean - 6.0) / 6.0)).withColumn("u", (draw + 0.5) / float(1 << 52))
-    return narrow.select("doc_id", "source", "size", "weight", (-F.log("u") / F.col("weight")).alias("key"))
+    return narrow.select(*more, "doc_id", "source", "size", "weight", (-F.log("u") / F.col("weight")).alias("key"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -62,15 +62,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", "rows", F.coalesce(F.least("most", share), F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, epochs, words) for each row of docs.
+def mix(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, epochs, words) for each row of docs, and columns named by more.
 
     docs needs doc_id, text and source; other columns are ignored. taken = epochs * size + words, where words is what the
     fractional epoch takes of the document. A null or empty text has size 0 and gives nothing;
     a null source is a source of its own, last in order; rows with one id draw one key and are
     ordered by size; with no words at all every target is 0; an empty table gives no rows.
     """
-    rows = stage_table(narrow_rows(docs), "mix-rows")
+    rows = stage_table(narrow_rows(docs, *more), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = source_targets(sizes)
     total = rows.count()
@@ -88,7 +88,22 @@ def mix(docs: DataFrame) -> DataFrame:
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     words = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("piece_at") - F.col("inside"))).cast("long")
     out = rows.withColumn("epochs", epochs).withColumn("words", words)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("words")).alias("taken"), "epochs", "words")
+    return out.select(*more, "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("words")).alias("taken"), "epochs", "words")
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Copies are whole: the document that the budget cuts is taken if half of it fits. Documents
+    without words come with complete epochs only. Equal rows are taken as one with their
+    copies added.
+    """
+    key = ["__t1", "__t2", "__id", "__of"]
+    named = docs.withColumns({"__t1": F.xxhash64("text"), "__t2": F.xxhash64(F.lit(1), "text"), "__id": F.coalesce("doc_id", F.lit(-1)), "__of": F.coalesce("source", F.lit("\x00"))})
+    copies = F.col("epochs") + ((F.col("words") > 0) & (F.col("words") * 2 >= F.col("size"))).cast("long")
+    taken = mix(named, *key).groupBy(*key).agg(F.sum(copies).alias("__copies")).where("__copies > 0")
+    rows = named.dropDuplicates(key).join(stage_table(taken, "mix-copies"), key)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

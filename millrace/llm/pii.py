@@ -119,9 +119,11 @@ def _votes(each: DataFrame) -> DataFrame:
 def reliabilities(votes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """EM of a two-class model with independent labelers: (posterior of each pattern, P(vote | class), share of class 1).
 
-    votes: patterns by labelers in {-1, 0, 1}; n: how often each occurs.
+    votes: patterns by labelers in {-1, 0, 1}, the strict patterns' vote first; n: how often each
+    occurs. Strict validity seeds the classes, for labelers that are independent of one another
+    don't say which of them to believe.
     """
-    p = np.where(votes.sum(axis=1) > 0, 0.9, 0.1)
+    p = 1 / (1 + np.exp(-(4.0 * votes[:, 0] + votes[:, 1:].sum(axis=1))))
     for _ in range(ROUNDS):
         weight = np.stack([(1 - p) * n, p * n])
         share = (weight[1].sum() + SMOOTH) / (n.sum() + 2 * SMOOTH)

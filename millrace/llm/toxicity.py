@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import isotonic
 from millrace.llm.common import held_out, labelled_fold, table, words_of
@@ -26,6 +27,7 @@ SAMPLE, TERMS, K, BLOCK = 6000, 512, 16, 64
 #: A term needs so many examples, and this share of the strongest term's chi-square.
 LEAST_EXAMPLES, LEAST_SHARE = 8, 0.1
 CACHE = 100_000
+THRESHOLD = 0.7
 
 
 def term_counts(text: str | None, terms: dict[bytes, int]) -> tuple[tuple[int, int], ...]:
@@ -105,16 +107,15 @@ def _vectors(shared):
     return run
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.string())])
-
-
 def _score(shared):
+    """Adds __score and __evidence to rows with a text."""
+
     def run(batches):
         terms, index, knots, default = (shared.value[k] for k in ("terms", "index", "knots", "default"))
         known: dict = {}
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 counts = term_counts(text, terms)
                 if (got := known.get(counts)) is None:
                     at, cosine = found = index.search(counts) if index else ((), ())
@@ -125,11 +126,23 @@ def _score(shared):
                     known[counts] = got
                 scores.append(got[0])
                 evidence.append(got[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence)], schema=SCORED)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], names=[*batch.schema.names, "__score", "__evidence"])
 
     return run
 
 
+def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, all its columns, with __score and __evidence."""
+    shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__evidence", T.StringType())])
+    return docs.mapInArrow(_score(shared), schema)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with a score below THRESHOLD."""
+    return with_scores(docs, labels).where(F.col("__score") < THRESHOLD).drop("__score", "__evidence")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, size: int) -> DataFrame:
     """(doc_id, label, text) of the labelled rows with the smallest hashes; one row per text.
 
@@ -193,9 +206,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     evidence lists the three nearest examples as id:label:cosine. Without labels of both kinds
     every score is the base rate (0 without any). Repeated rows give repeated results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels))
-    scored = docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double, evidence string")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+    scored = with_scores(docs.select("doc_id", "text"), labels)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__evidence").alias("evidence")
+    )
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
