@@ -1 +1 @@
-
+"""Types and scalar helpers of the dialect."""

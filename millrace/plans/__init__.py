@@ -1 +1 @@
-
+"""From statements to plans: parsing, the catalog and the change log."""

@@ -1 +1 @@
-
+"""Readers, writers and stored layouts."""

@@ -1,0 +1,40 @@
+"""Every registered relational query against DuckDB on the smallest tables."""
+
+import os
+
+import pytest
+
+from millrace.plans import catalogue
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    c = duckdb.connect()
+    for t in catalogue.TABLES:
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+def norm(rows):
+    return sorted(tuple("" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+def test_same_rows(spark, duck, name):
+    got = catalogue.queries()[name](spark, SF)
+    want = duck.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert norm(got.select(*names).collect()) == norm(want.fetchall())
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() == 10
+    assert set(e.oracle_sql()) <= set(e.queries())
