@@ -7,10 +7,11 @@ import numpy as np
 
 def fit(scores: np.ndarray, positives: np.ndarray, counts: np.ndarray, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Knots (score, probability) of a rising curve; prior: pseudo-rows at the base rate in each pool."""
-    order = np.argsort(scores, kind="stable")
     base = positives.sum() / max(counts.sum(), 1e-9)
+    at, where = np.unique(scores, return_inverse=True)  # equal scores are one point
+    positives, counts = np.bincount(where, positives), np.bincount(where, counts)
     pools: list[list[float]] = []  # weighted score, positives, rows
-    for s, p, n in zip(scores[order], positives[order], counts[order], strict=True):
+    for s, p, n in zip(at, positives, counts, strict=True):
         pools.append([s * n, p, n])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
