@@ -51,9 +51,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; clean_up() removes it."""
+    _MADE.append(f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what the operators keep in the shared folder, once their results have been written."""
+    while _MADE:
+        drop_path(spark, _MADE.pop())
 
 
 def stage_table(df: DataFrame, tag: str, codec: str = "zstd", path: str | None = None) -> DataFrame:

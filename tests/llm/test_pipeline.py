@@ -68,3 +68,12 @@ def test_oracles(spark, name):
     names = [x[0] for x in want.description]
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_clean_up(spark, odd):
+    from millrace.llm.common import clean_up, stage_table, work_path
+
+    path = work_path(spark, "t")
+    assert stage_table(odd, "t", path=path).count() == odd.count() and os.path.isdir(path)
+    clean_up(spark)
+    assert not os.path.exists(path)
