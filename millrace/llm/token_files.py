@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,13 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 BLOCK_IDS = 1 << 18
 FILE_IDS = 6_000_000
 #: Words whose ids a worker remembers; a full memory starts anew.
-CACHE_WORDS = 1_400_000
+CACHE_WORDS = 1_200_000
 END_ID = 0
-END_MARK = END_ID.to_bytes(4, "little")
+#: Texts that this finds are tokenised whole: white space other than a space or newline, or such that isn't single and between words.
+ODD_SPACE = r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
 #: Words that one string hands to the tokenizer at once.
-JOINED = 256
+JOINED = 1024
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -58,7 +60,7 @@ def default_tokenizer() -> str:
 
 
 def _tokenizer(path: str):
-    """This worker's tokenizer, its memory of words and the id of a newline.
+    """This worker's tokenizer, its memory of words, the id of a newline and the type of ids.
 
     The memory serves byte-level BPE with the usual pattern, which never matches across a
     single newline nor across the place before a single space; the id is None for others.
@@ -73,81 +75,94 @@ def _tokenizer(path: str):
         cut = made["pre_tokenizer"] or {}
         plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made["normalizer"]
         newline = tok.encode("\n", add_special_tokens=False).ids
-        _TOKENIZERS[path] = (tok, {}, newline[0] if plain and len(newline) == 1 else None)
+        kind = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
+        _TOKENIZERS[path] = (tok, {}, newline[0] if plain and len(newline) == 1 else None, kind)
     return _TOKENIZERS[path]
 
 
-def _keys(text: str) -> list[str] | None:
-    """The words of a text whose white space is single spaces and newlines between words, else None.
+def _remember(tok, cache: dict, new: list[str], newline: int, kind: np.dtype) -> None:
+    """Ids of new words, each behind a newline, many in one string.
 
-    A word that stands after a newline, or first, keeps a newline in front.
+    A word that stands after a newline, or first, has a newline in front; others stand for the word behind a space.
     """
-    if " ".join(text.split()) != text.replace("\n", " "):
-        return None
-    return f"\n{text.replace('\n', ' \n')}".split(" ")
-
-
-def _remember(tok, cache: dict, new: list[str], newline: int) -> None:
-    """Ids of new words, each behind a newline, many in one string."""
-    mark = np.uint32(newline)
     groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
     joined = ["".join(k if k[0] == "\n" else f"\n {k}" for k in g) + "\n" for g in groups]
     for group, enc in zip(groups, tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-        ids = np.array(enc.ids, "<u4")
-        at = (4 * np.flatnonzero(ids == mark)).tolist()
+        ids = np.array(enc.ids, kind)
+        at = (kind.itemsize * np.flatnonzero(ids == newline)).tolist()
         if len(at) != len(group) + 1:
             for k in group:
-                cache[k] = np.array(tok.encode(k if k[0] == "\n" else f" {k}", add_special_tokens=False).ids, "<u4").tobytes()
+                cache[k] = np.array(tok.encode(k if k[0] == "\n" else f" {k}", add_special_tokens=False).ids, kind).tobytes()
             continue
-        raw = ids.tobytes()
-        cache.update((k, raw[x if k[0] == "\n" else x + 4 : y]) for k, x, y in zip(group, at, at[1:], strict=False))
+        raw, skip = ids.tobytes(), kind.itemsize
+        cache.update((k, raw[x if k[0] == "\n" else x + skip : y]) for k, x, y in zip(group, at, at[1:], strict=False))
+
 
+def _encode_regular(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """Ids of texts whose white space is single spaces and newlines between words.
 
-def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian u32, without special tokens; none for null."""
-    tok, cache, newline = _tokenizer(path)
-    rows = [_keys(t) if t and newline is not None else None for t in texts]
-    new = set().union(*(r for r in rows if r)) - cache.keys()
+    Words are told apart and coded by Arrow; only distinct ones are looked up.
+    """
+    tok, cache, newline, kind = _tokenizer(path)
+    marked = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n")
+    words = pc.split_pattern(marked, " ")
+    coded = words.flatten().dictionary_encode()
+    known, codes, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy()
+    new = [w for w in known if w not in cache]
     if len(cache) + len(new) > CACHE_WORDS:
         cache.clear()
-        new = set().union(*(r for r in rows if r))
-    _remember(tok, cache, list(new), newline)
-    whole = [t for t, r in zip(texts, rows, strict=True) if t and r is None]
-    others = iter(tok.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-    return [
-        b"".join(map(cache.__getitem__, r))[4:] if r else np.array(next(others).ids, "<u4").tobytes() if t else b""
-        for t, r in zip(texts, rows, strict=True)
-    ]
-
-
-STAGE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
-STAGE_SQL = "doc_id long, n long, crc long, width int, ids binary"
-
-
-def _groups(texts: list[str | None], limit: int = 1 << 21):
-    """Slices of about limit characters, so that a batch of long texts stays bounded."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+        new = known
+    _remember(tok, cache, new, newline, kind)
+    values = [cache[w] for w in known]
+    size = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
+    flat, own = np.frombuffer(b"".join(values), kind), size[codes]
+    ends = np.cumsum(own)
+    ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(size) - size)[codes] - (ends - own), own)]
+    at = np.concatenate([[0], ends])[bounds - bounds[0]]
+    return [ids[a + 1 : b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """Ids of each text, without special tokens; none for null."""
+    tok, _, newline, kind = _tokenizer(path)
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.match_substring_regex(texts, ODD_SPACE), pa.scalar(newline is None)).to_numpy(zero_copy_only=False)
+    odd |= pc.equal(texts, "").to_numpy(zero_copy_only=False)
+    whole = texts.filter(pa.array(odd)).to_pylist()
+    others = iter(np.array(e.ids, kind) for e in (tok.encode_batch_fast(whole, add_special_tokens=False) if whole else ()))
+    regular = iter(_encode_regular(texts.filter(pa.array(~odd)), path) if not odd.all() else ())
+    return [next(others) if o else next(regular) for o in odd.tolist()]
+
+
+STAGE = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
+STAGE_SQL = "doc_id long, mark long, n long, width int, ids binary"
+
+
+def _groups(texts: pa.Array, limit: int = 1 << 22):
+    """Slices of about limit bytes, so that a batch of long texts stays bounded."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit)))
+        yield slice(at, end)
+        at = end
 
 
 def tokenise(path: str):
+    """Adds the end id to each text's ids and packs them."""
+
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(2)
             for part in _groups(texts):
-                out = []
-                for d, ids in zip(doc_ids[part], encode_texts(texts[part], path), strict=True):
-                    ids = np.frombuffer(ids + END_MARK, "<u4")
-                    width = 2 if ids.max() < 1 << 16 else 4
-                    out.append((d, len(ids), zlib.crc32(ids), width, pack.compress(ids.astype(f"<u{width}"))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), STAGE, strict=True)], schema=STAGE)
+                found = [np.append(ids, ids.dtype.type(END_ID)) for ids in encode_texts(texts[part], path)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0)[part], batch.column(1)[part], pa.array([len(x) for x in found], pa.int64()), pa.array([x.itemsize for x in found], pa.int32()),
+                        pa.array([pack.compress(x) for x in found], pa.binary()),
+                    ], schema=STAGE,
+                )
 
     return run
 
@@ -246,10 +261,10 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None) -
     """Write docs (doc_id long, text string; other columns are ignored) below the folder out.
 
     Null and empty texts give the end id alone; null ids come first; equal ids keep a
-    defined order by length and checksum; an empty table gives files without blocks.
+    defined order by length and hash; an empty table gives files without blocks.
     """
     spark = docs.sparkSession
-    staged = docs.select("doc_id", "text").mapInArrow(tokenise(tokenizer or default_tokenizer()), STAGE_SQL)
+    staged = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tokenise(tokenizer or default_tokenizer()), STAGE_SQL)
     staged = stage_table(staged, "tokens", "snappy", f"{out}/staged")
     counts = staged.select("width", "ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row per vocabulary entry: bounded by the tokenizer, not by the corpus.
@@ -258,7 +273,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None) -
     order = spark.sparkContext.broadcast(np.array([r["id"] for r in ranked], np.int64))
     total = sum(r["n"] for r in ranked)
     n_files = max(1, -(-total // FILE_IDS))
-    sorted_docs = staged.repartitionByRange(n_files, "doc_id", "n", "crc").sortWithinPartitions("doc_id", "n", "crc")
+    sorted_docs = staged.repartitionByRange(n_files, "doc_id", "n", "mark").sortWithinPartitions("doc_id", "n", "mark")
     blocks = sorted_docs.select("doc_id", "width", "ids").mapInArrow(_encode(order), "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/files")
 
