@@ -273,3 +273,31 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS node, count(*) AS n_copies FROM documents WHERE doc_id IS NOT NULL GROUP BY 1
+), w AS (
+  SELECT node, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
+), p AS (
+  SELECT node, w, least(5, len(w)) AS n, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS p FROM w WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT node, array_to_string(list_slice(w, p, p + n - 1), ' ') AS shingle FROM p
+), c AS (
+  SELECT node, count(*) AS n FROM s GROUP BY node
+), common AS (
+  SELECT x.node AS a, y.node AS b, count(*) AS n FROM s x JOIN s y ON x.shingle = y.shingle AND x.node <> y.node GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM common JOIN c ca ON a = ca.node JOIN c cb ON b = cb.node WHERE 5 * common.n >= 4 * (ca.n + cb.n - common.n)
+), r AS (
+  SELECT node, node AS label FROM t UNION SELECT l.b, r.label FROM r JOIN l ON r.node = l.a WHERE r.label < l.b
+), k AS (
+  SELECT node, min(label) AS class_id FROM r GROUP BY node
+), n AS (
+  SELECT a AS node, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT d.doc_id, k.class_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, t.node AS text_id, CAST(t.n_copies AS BIGINT) AS n_copies
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN k ON k.node = t.node LEFT JOIN n ON n.node = t.node WHERE d.doc_id IS NOT NULL
+UNION ALL SELECT doc_id, NULL, 0, NULL, 1 FROM documents WHERE doc_id IS NULL
+"""

@@ -20,6 +20,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_hilbert_shards": sharding.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op6_mix": mixing.ORACLE,
     "op8_line_spread": lines.ORACLE,

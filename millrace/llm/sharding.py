@@ -145,3 +145,40 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_order(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
+
+
+_LOOKUP = ", ".join(str(h) for _, h in hilbert_table())
+ORACLE = rf"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, generate_series(1, 8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+  FROM range(256) x(i)
+), d AS (
+  SELECT doc_id, source, lang, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS raw,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS mix
+  FROM documents
+), e AS (
+  SELECT d.* EXCLUDE (raw), xor(list_reduce(list_prepend(4294967295, raw), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc
+), m AS (
+  SELECT min(source) AS s0, max(source) AS s1, min(lang) AS l0, max(lang) AS l1, min(doc_id) AS i0, max(doc_id) AS i1, count(*) AS total FROM e
+), q AS (
+  SELECT *, least(len(list_filter(generate_series(1, 64), lambda n: left(s0, n) = left(s1, n))), length(s0)) AS sp, least(len(list_filter(generate_series(1, 64), lambda n: left(l0, n) = left(l1, n))), length(l0)) AS lp FROM m
+), f AS (
+  SELECT e.*, q.total,
+    CASE WHEN source IS NULL THEN 0 ELSE CAST('0x' || rpad(left(hex(encode(substr(source, sp + 1))), 4), 4, '0') AS BIGINT) + 1 END AS c0,
+    CASE WHEN lang IS NULL THEN 0 ELSE CAST('0x' || rpad(left(hex(encode(substr(lang, lp + 1))), 4), 4, '0') AS BIGINT) + 1 END AS c1,
+    length(bin(size)) * 4 + CAST(substr(rpad(substr(bin(size), 2, 2), 2, '0'), 1, 1) AS BIGINT) * 2 + CAST(substr(rpad(substr(bin(size), 2, 2), 2, '0'), 2, 1) AS BIGINT) AS c2,
+    CASE WHEN doc_id IS NULL THEN 0 ELSE (doc_id - i0) * 250 // (i1 - i0 + 1) + 1 END AS c3
+  FROM e, q
+), g AS (
+  SELECT *, (rank() OVER (ORDER BY c0) - 1) * {1 << BITS} // total AS b0, (rank() OVER (ORDER BY c1) - 1) * {1 << BITS} // total AS b1,
+    (rank() OVER (ORDER BY c2) - 1) * {1 << BITS} // total AS b2, (rank() OVER (ORDER BY c3) - 1) * {1 << BITS} // total AS b3 FROM f
+), h AS (
+  SELECT *, [{_LOOKUP}][((b0 * {1 << BITS} + b1) * {1 << BITS} + b2) * {1 << BITS} + b3 + 1] AS hilbert FROM g
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY hilbert, mix, doc_id NULLS FIRST, text_crc32, size) - 1 AS place FROM h
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * {SHARDS} // total AS INTEGER) AS shard,
+  CAST(place - ((place * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(hilbert AS INTEGER) AS hilbert
+FROM r
+"""
