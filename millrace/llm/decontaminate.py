@@ -12,18 +12,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_TABLE, table, words_of
+from millrace.llm.common import WORD_TABLE, spread, table, words_of
 
 WINDOW = 10
 WINDOWS_PER_PASS = 40_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_AUTOMATA: dict[int, object] = {}
+_AUTOMATA: dict[str, object] = {}
 
 
 def windows_of(text: str | None, size: int = WINDOW) -> list[tuple[bytes, int]]:
@@ -52,6 +53,8 @@ def _automaton(shared):
     if shared.value["key"] not in _AUTOMATA:
         import ahocorasick
 
+        if len(_AUTOMATA) >= 4:  # of earlier queries
+            _AUTOMATA.clear()
         made = ahocorasick.Automaton()
         for window, (n, ids) in shared.value["windows"].items():
             made.add_word(f" {window.decode('latin-1')} ", (n, ids))
@@ -136,9 +139,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit:
     of docs give repeated results, repeated items count once.
     """
     sc, out, first = docs.sparkSession.sparkContext, docs.select(F.col("doc_id").cast("string"), "text"), True  # pandas has no nullable long
-    for k, windows in enumerate(window_passes(items, size, limit)):
+    for windows in window_passes(items, size, limit):
         if first or windows:
-            shared = sc.broadcast({"key": (id(items), k, hash(frozenset(windows))), "windows": windows})
+            shared = sc.broadcast({"key": uuid.uuid4().hex, "windows": windows})
             out = out.select(*["doc_id", "text"], *([] if first else ["__runs", "__items"])).mapInPandas(_scan(shared, first), "doc_id string, text string, __runs string, __items string, __words long")
             first = False
     out = out.mapInPandas(_digest, "doc_id string, n_words long, n_hit long, n_items long, items string, items_sha256 string, contaminated boolean, spans string")
@@ -157,14 +160,14 @@ def _clean(shared):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = WINDOWS_PER_PASS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of an item."""
-    for k, windows in enumerate(window_passes(items, size, limit)):
-        shared = docs.sparkSession.sparkContext.broadcast({"key": (id(items), k, hash(frozenset(windows))), "windows": windows})
+    for windows in window_passes(items, size, limit):
+        shared = docs.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": windows})
         docs = docs.mapInArrow(_clean(shared), docs.schema)
     return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, items = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     return decontaminate(docs, items).drop("items", "spans")
 
 

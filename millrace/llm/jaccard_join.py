@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage_table, table, words_of
+from millrace.llm.common import spread, stage_table, table, words_of
 from millrace.llm.components import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)
@@ -272,7 +272,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(spread(table(spark, sf_dir, "documents")))
 
 
 ORACLE = r"""

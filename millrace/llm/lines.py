@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage_table, table
+from millrace.llm.common import spread, stage_table, table
 
 #: A line is boilerplate on SITES sites or more; shorter lines than LEAST_CHARS are left alone.
 SITES, LEAST_CHARS = 10, 20
@@ -68,7 +68,7 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = drop_boilerplate(spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

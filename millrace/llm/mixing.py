@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import stage_table, table
+from millrace.llm.common import spread, stage_table, table
 
 #: Most that a source gives, as a multiple of its size; weights by the rank of the source.
 EPOCHS, WEIGHTS = 3, (1, 2, 3)
@@ -107,7 +107,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spread(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""

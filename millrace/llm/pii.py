@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import stage_table, table
+from millrace.llm.common import spread, stage_table, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that no start is tried twice: a match begins where a run does, or
@@ -194,5 +194,5 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal(table(spark, sf_dir, "documents"))
+    found = find_personal(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")

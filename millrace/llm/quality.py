@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import isotonic
-from millrace.llm.common import held_out, labelled_fold, stage_table, table
+from millrace.llm.common import held_out, labelled_fold, spread, stage_table, table
 
 FEATURES, RIDGE, BINS, SEED = 256, 1.0, 2000, 7
 #: Rows that the kernel's width is taken from (the median distance of random pairs).
@@ -159,4 +159,4 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))

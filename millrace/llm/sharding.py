@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import stage_table, table
+from millrace.llm.common import spread, stage_table, table
 
 DIMS, BITS = 4, 3
 SHARDS = 24
@@ -142,7 +142,7 @@ def cut_runs(placed: DataFrame, total: int, shards: int) -> DataFrame:
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert_order(table(spark, sf_dir, "documents")).select(
+    return hilbert_order(spread(table(spark, sf_dir, "documents"))).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
 

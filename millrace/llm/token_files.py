@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import stage_table, table, work_path
+from millrace.llm.common import spread, stage_table, table, work_path
 
 HEAD = struct.Struct("<4sIQQQ")
 MAGIC = b"MRT1"
@@ -328,4 +328,4 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(spread(table(spark, sf_dir, "documents")))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import isotonic
-from millrace.llm.common import held_out, labelled_fold, table, words_of
+from millrace.llm.common import held_out, labelled_fold, spread, table, words_of
 
 SAMPLE, TERMS, K, BLOCK = 6000, 512, 16, 64
 #: A term needs so many examples, and this share of the strongest term's chi-square.
@@ -213,4 +213,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
