@@ -70,6 +70,21 @@ def join(left: DataFrame, right: DataFrame, on: str | Sequence[str] | Column, ho
     return left.join(right, on, how)
 
 
+def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs with low <= point < high, as an equi-join on buckets of the given width.
+
+    Each interval is repeated for the buckets that it touches, so choose a width near the usual
+    interval's; a point lies in one bucket, so no pair is found twice. Rows with a null bound or
+    point, and empty intervals, match nothing.
+    """
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    some = intervals.where(F.col(low) < F.col(high))
+    some = some.withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    dealt = points.where(F.col(point).isNotNull()).withColumn("__bucket", bucket(point))
+    inside = (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))
+    return dealt.join(some, "__bucket").where(inside).drop("__bucket")
+
+
 def comma_join(tables: Sequence[DataFrame], condition: str | Column | None = None) -> DataFrame:
     """FROM a, b, c WHERE condition: products whose equalities Catalyst turns into joins."""
     out = tables[0]

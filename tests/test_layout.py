@@ -44,6 +44,14 @@ def test_broadcast_is_checked(stored):
     assert "broadcast" not in plan(op.broadcast_if_small(stored, limit=1)).lower()
 
 
+def test_range_join(spark):
+    points = spark.createDataFrame([(x,) for x in (-7.5, 0.0, 3.0, 4.0, 9.99, 10.0, None)], "x double")
+    bands = spark.createDataFrame([(1, -8.0, 3.0), (2, 3.0, 10.0), (3, 4.0, 4.0), (4, None, 5.0), (5, 9.0, 2.0)], "b int, lo double, hi double")
+    joined = op.range_join(points, bands, "x", "lo", "hi", 2.5)
+    assert "NestedLoop" not in plan(joined) and "Cartesian" not in plan(joined)
+    assert sorted((r["x"], r["b"]) for r in joined.collect()) == [(-7.5, 1), (0.0, 1), (3.0, 2), (4.0, 2), (9.99, 2)]
+
+
 def test_top_needs_no_full_sort(stored):
     assert "TakeOrderedAndProject" in plan(op.top(stored, 5, ("k", "desc")))
 
