@@ -32,6 +32,8 @@ BANDS, ROWS = 41, 5
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-9
 BLOCK = 128
+#: Shingles of a text that are hashed at once.
+PIECE = 100_000
 #: Cells of the largest incidence matrix; beyond, sets are intersected pair by pair.
 CELLS = 20_000_000
 
@@ -62,19 +64,24 @@ def _powers(n: int) -> list[np.ndarray]:
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; one of all words if it has fewer than size.
 
-    Hashes of all spans come from one prefix sum of byte values times powers of an odd base.
+    A hash doesn't depend on the shingle's place, so long texts are hashed in pieces of PIECE shingles.
     """
     words = words_of(text)
-    if not words:
+    n = min(size, len(words))
+    if not n:
         return np.zeros(0, np.uint64)
+    return np.unique(np.concatenate([_spans(words[k : k + PIECE + n - 1], n) for k in range(0, len(words) - n + 1, PIECE)]))
+
+
+def _spans(words: list[bytes], n: int) -> np.ndarray:
+    """Hashes of all runs of n words, from one prefix sum of byte values times powers of an odd base."""
     raw = np.frombuffer(b" ".join(words), np.uint8)
     power, inverse = _powers(len(raw) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64)])
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = min(size, len(words))
     a, b = starts[: len(words) - n + 1], ends[n - 1 :]
-    return np.unique(_mix((total[b] - total[a]) * inverse[a] ^ (b - a).astype(np.uint64)))
+    return _mix((total[b] - total[a]) * inverse[a] ^ (b - a).astype(np.uint64))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:

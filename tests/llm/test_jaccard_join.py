@@ -73,6 +73,15 @@ def test_shingle_hashes_tell_sets_apart():
     assert len({int(jj.shingles(t)[0]) for t in texts}) == len(texts)
 
 
+def test_pieces_make_no_difference(monkeypatch):
+    text = " ".join(f"w{k % 701}" for k in range(5000))
+    whole = jj.shingles(text)
+    for piece in (1, 7, 4996, 4997):
+        monkeypatch.setattr(jj, "PIECE", piece)
+        assert np.array_equal(jj.shingles(text), whole)
+    assert len(whole) == 701 and len(jj.shingles("a b c d")) == 1
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(1)
     lost = 0
