@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples.
 
-Labelled examples are indexed by TF-IDF weights over the terms that tell the labels apart.
-Postings are cut into blocks of BLOCK examples with the largest weight of each term; a search
-visits blocks in descending order of their bound and stops when no block can still enter the K
-best, so its cosines are exact. The neighbours vote with their cosines, and the vote is
-calibrated on leave-one-out votes of the examples themselves. The neighbours are the evidence.
+Labelled examples are indexed by every word they hold; a word's weight is its TF-IDF times the
+root of its chi-square with the label, so that words that tell the labels apart count most.
+Words of many examples are rows of a dense matrix, the others posting lists; a search adds up
+both over all examples, so its cosines are exact. (With every word indexed, block bounds cost
+more than they save.) The neighbours vote with their cosines, and the vote is calibrated on leave-one-out votes of the examples themselves (chi-squares and document
+frequencies are those of all examples). The neighbours are the evidence.
 
 Bounded by parameters: the SAMPLE labelled rows with the smallest hashes of their ids are
-learnt from, over at most TERMS terms. Document frequencies count all documents.
+learnt from, with all their words. Document frequencies count all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -23,9 +25,11 @@ from pyspark.sql import types as T
 from millrace.llm import isotonic
 from millrace.llm.common import held_out, labelled_fold, spread, table, words_of
 
-SAMPLE, TERMS, K, BLOCK = 6000, 512, 16, 64
-#: A term needs so many examples, and this share of the strongest term's chi-square.
-LEAST_EXAMPLES, LEAST_SHARE = 8, 0.1
+SAMPLE, K = 6000, 16
+#: Words in this share of the examples or more are dense; texts that are searched at once.
+DENSE, BATCH = 1 / 32, 128
+#: Chi-square that a word counts with at least, so that no word is without weight.
+FLOOR = 0.01
 CACHE = 100_000
 THRESHOLD = 0.7
 
@@ -35,50 +39,66 @@ def term_counts(text: str | None, terms: dict[bytes, int]) -> tuple[tuple[int, i
     return tuple(sorted(Counter(terms[w] for w in words_of(text) if w in terms).items()))
 
 
-class BlockMaxIndex:
-    """TF-IDF vectors of labelled examples behind a block-max inverted index."""
-
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[tuple[int, int], ...]], idf: np.ndarray):
-        self.ids, self.labels, self.idf = np.array(ids), np.array(labels, np.float64), idf
-        self.blocks = max(1, -(-len(ids) // BLOCK))
-        own: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for k, v in enumerate(vectors):
-            for t, w in zip(*self.weights(v), strict=True):
-                own[t].append((k, w))
-        self.at = [np.array([k for k, _ in p], np.int64) for p in own]
-        self.weight = [np.array([w for _, w in p]) for p in own]
-        self.starts = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a in self.at]
-        self.most = np.zeros((len(idf), self.blocks))
-        for t, (a, w) in enumerate(zip(self.at, self.weight, strict=True)):
-            np.maximum.at(self.most[t], a // BLOCK, w)
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class ExactIndex:
+    """Unit-length vectors of labelled examples by term; scale is each term's factor."""
+
+    def __init__(self, ids: list[int], labels: list[int], vectors: list, scale: np.ndarray):
+        self.ids, self.labels, self.scale = np.array(ids), np.array(labels, np.float64), scale
+        made = [self.weights(v) for v in vectors]
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in made)])
+        at, weight = np.repeat(np.arange(len(made)), [len(t) for t, _ in made]), np.concatenate([np.zeros(0), *(w for _, w in made)])
+        held = np.bincount(terms, minlength=len(scale))
+        common = np.nonzero(held >= max(1, DENSE * len(made)))[0]
+        self.row = np.full(len(scale), -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[terms] >= 0
+        self.dense = np.zeros((len(common), len(made)))
+        self.dense[self.row[terms[dense]], at[dense]] = weight[dense]
+        terms, at, weight = terms[~dense], at[~dense], weight[~dense]
+        order = np.argsort(terms, kind="stable")
+        self.at, self.weight = at[order], weight[order]
+        self.size = np.bincount(terms, minlength=len(scale))
+        self.start = np.cumsum(self.size) - self.size
 
     def weights(self, counts) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit-length weights."""
-        if not counts:
+        if not len(counts):
             return np.zeros(0, np.int64), np.zeros(0)
-        t, n = np.array(counts).T
-        w = (1 + np.log(n)) * self.idf[t]
+        t, n = np.array(counts, np.int64).T
+        w = (1 + np.log(n)) * self.scale[t]
         return t, w / np.sqrt(w @ w)
 
     def search(self, counts, k: int = K, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a cosine above 0; ties to the smaller id."""
-        terms, weights = self.weights(counts)
-        bound = weights @ self.most[terms] if len(terms) else np.zeros(self.blocks)
-        order, best = np.argsort(-bound, kind="stable"), (np.zeros(0, np.int64), np.zeros(0))
-        for b in order:
-            if bound[b] <= 0 or len(best[0]) == k and bound[b] < best[1][-1] - 1e-12:
-                break
-            cosine = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                part = slice(self.starts[t][b], self.starts[t][b + 1])
-                cosine[self.at[t][part] - b * BLOCK] += w * self.weight[t][part]
-            got = np.nonzero(cosine)[0]
-            at, cosine = got + b * BLOCK, np.round(cosine[got], 12)
-            keep = at != leave
-            at, cosine = np.concatenate([best[0], at[keep]]), np.concatenate([best[1], cosine[keep]])
-            top = np.lexsort((at, -cosine))[:k]
-            best = at[top], cosine[top]
-        return best
+        return self.search_all([counts], k, [leave])[0]
+
+    def search_all(self, many: list, k: int = K, leave=None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search() of each vector, BATCH at once."""
+        out = []
+        for low in range(0, len(many), BATCH):
+            some = [self.weights(v) for v in many[low : low + BATCH]]
+            query = np.zeros((len(some), len(self.dense)))
+            for n, (terms, weights) in enumerate(some):
+                row = self.row[terms]
+                query[n, row[row >= 0]] = weights[row >= 0]
+            for n, ((terms, weights), cosine) in enumerate(zip(some, query @ self.dense, strict=True)):
+                size = self.size[terms]
+                posting = _ranges(self.start[terms], size)
+                cosine += np.bincount(self.at[posting], self.weight[posting] * np.repeat(weights, size), len(cosine))
+                if leave is not None and leave[low + n] >= 0:
+                    cosine[leave[low + n]] = 0
+                # Rounded, so that equal cosines are equal in whatever order they were added up.
+                at = np.nonzero(cosine >= np.partition(cosine, -k)[-k] - 1e-11)[0] if len(cosine) > k else np.arange(len(cosine))
+                found = np.round(cosine[at], 12)
+                at, found = at[found > 0], found[found > 0]
+                top = np.lexsort((at, -found))[:k]
+                out.append((at[top], found[top]))
+        return out
 
     def vote(self, found: tuple[np.ndarray, np.ndarray]) -> float:
         """Cosine-weighted share of label 1; -1 without neighbours."""
@@ -86,6 +106,10 @@ class BlockMaxIndex:
         return float(cosine @ self.labels[at] / cosine.sum()) if len(at) else -1.0
 
 
+#: The index's name while it skipped blocks.
+BlockMaxIndex = ExactIndex
+
+
 def _count_frequencies(shared):
     def run(batches):
         terms, seen, rows = shared.value, Counter(), 0
@@ -101,8 +125,8 @@ def _count_frequencies(shared):
 def _vectors(shared):
     def run(batches):
         for batch in batches:
-            found = [[x for pair in term_counts(t, shared.value) for x in pair] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "label", "counts"])
+            found = [np.array(term_counts(t, shared.value), np.int32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "counts"])
 
     return run
 
@@ -114,18 +138,18 @@ def _score(shared):
         terms, index, knots, default = (shared.value[k] for k in ("terms", "index", "knots", "default"))
         known: dict = {}
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                counts = term_counts(text, terms)
-                if (got := known.get(counts)) is None:
-                    at, cosine = found = index.search(counts) if index else ((), ())
-                    score = float(isotonic.apply(knots, np.array([index.vote(found)]))[0]) if len(at) else default
-                    got = score, ",".join(f"{index.ids[a]}:{index.labels[a]:.0f}:{c:.4f}" for a, c in zip(at[:3], cosine[:3], strict=True))
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[counts] = got
-                scores.append(got[0])
-                evidence.append(got[1])
+            texts, rows = batch.column(batch.schema.get_field_index("text")).to_pylist(), []
+            for low in range(0, len(texts), BATCH):
+                counts = [np.array(term_counts(t, terms), np.int32) for t in texts[low : low + BATCH]]
+                keys = [hashlib.md5(c.tobytes()).digest() for c in counts]
+                if len(known) >= CACHE:
+                    known.clear()
+                new = {key: c for key, c in zip(keys, counts, strict=True) if key not in known}
+                for key, (at, cosine) in zip(new, index.search_all([*new.values()]) if index else [((), ())] * len(new), strict=True):
+                    score = float(isotonic.apply(knots, np.array([index.vote((at, cosine))]))[0]) if len(at) else default
+                    known[key] = score, ",".join(f"{index.ids[a]}:{index.labels[a]:.0f}:{c:.4f}" for a, c in zip(at[:3], cosine[:3], strict=True))
+                rows += [known[key] for key in keys]
+            scores, evidence = [r[0] for r in rows], [r[1] for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], names=[*batch.schema.names, "__score", "__evidence"])
 
     return run
@@ -154,18 +178,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, size: int)
     return rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min(F.struct("doc_id", "label", "text")).alias("r")).select("r.*")
 
 
-def telling_terms(sample: DataFrame, limit: int = TERMS) -> list[str]:
-    """Words by their chi-square with the label."""
+def term_table(sample: DataFrame) -> list[tuple[str, float]]:
+    """Every word of the sample and its chi-square with the label; none without labels of both kinds."""
     words = sample.select("label", F.explode(F.array_distinct(_words("text"))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("p")).where(F.col("n") >= LEAST_EXAMPLES)
+    counts = words.groupBy("word").agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("p"))
     total = sample.agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("p")).first()
     if not total["n"] or not total["p"] or total["p"] == total["n"]:
         return []
     rows, pos = F.lit(total["n"]), F.lit(total["p"])
     n, p = F.col("n"), F.col("p")
     chi = rows * F.pow(p * rows - n * pos, 2) / F.greatest(n * pos * (rows - n) * (rows - pos), F.lit(1.0))
-    found = counts.select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(limit).collect()
-    return [r["word"] for r in found if r["chi"] >= LEAST_SHARE * found[0]["chi"]]
+    return sorted((r["word"], r["chi"]) for r in counts.select("word", chi.alias("chi")).collect())
 
 
 def _words(column: str):
@@ -178,9 +201,10 @@ def build_index(docs: DataFrame, labels: DataFrame, column: str = "toxic", sampl
     """Terms, index and calibration; without labels of both kinds the index is None."""
     sc = docs.sparkSession.sparkContext
     sample = labelled_sample(docs, labels, column, sample_size).cache()
-    terms = {t.encode(): k for k, t in enumerate(telling_terms(sample))}
+    words = term_table(sample)
+    terms = {t.encode(): k for k, (t, _) in enumerate(words)}
     shared = sc.broadcast(terms)
-    rows = sorted(sample.select("doc_id", "label", "text").mapInArrow(_vectors(shared), "doc_id long, label int, counts array<long>").collect())
+    rows = sorted(sample.select("doc_id", "label", "text").mapInArrow(_vectors(shared), "doc_id long, label int, counts binary").collect())
     sample.unpersist()
     base = sum(r["label"] for r in rows) / len(rows) if rows else 0.0
     if not terms:
@@ -188,9 +212,10 @@ def build_index(docs: DataFrame, labels: DataFrame, column: str = "toxic", sampl
     seen = docs.select("text").mapInArrow(_count_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     seen = {r["term"]: r["n"] for r in seen}
     idf = 1 + np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(k, 0) for k in range(len(terms))])))
-    vectors = [tuple(zip(r["counts"][::2], r["counts"][1::2], strict=True)) for r in rows]
-    index = BlockMaxIndex([r["doc_id"] for r in rows], [r["label"] for r in rows], vectors, idf)
-    votes = np.array([index.vote(index.search(v, leave=k)) for k, v in enumerate(vectors)])
+    scale = idf * np.sqrt(np.maximum([chi for _, chi in words], FLOOR))
+    vectors = [np.frombuffer(r["counts"], np.int32).reshape(-1, 2) for r in rows]
+    index = ExactIndex([r["doc_id"] for r in rows], [r["label"] for r in rows], vectors, scale)
+    votes = np.array([index.vote(f) for f in index.search_all(vectors, leave=range(len(vectors)))])
     none = votes < 0
     default = float((index.labels[none].sum() + base) / (none.sum() + 1))
     some = ~none
@@ -202,7 +227,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for each row of docs.
 
     docs needs doc_id and text, labels doc_id and toxic; other columns are ignored. Null and
-    empty texts, and texts without a telling term, get the examples' rate among such texts.
+    empty texts, and texts without a word of the examples, get the examples' rate among such texts.
     evidence lists the three nearest examples as id:label:cosine. Without labels of both kinds
     every score is the base rate (0 without any). Repeated rows give repeated results.
     """

@@ -71,3 +71,17 @@ def test_held_out_labels_are_never_learnt(spark):
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     scores = [{r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, t).collect()} for t in (labels, turned)]
     assert scores[0] == scores[1]
+
+
+def test_every_word_of_the_examples_is_searched(spark):
+    rows = [(k, f"vile own{k}" if k % 3 == 0 else f"calm own{k}") for k in range(90)] + [(k, f"rude own{k}") for k in range(90, 96)]
+    labels = spark.createDataFrame([(k, int("calm" not in t)) for k, t in rows], "doc_id long, toxic int")
+    learnt = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert 0 < sum(k >= 90 for k in learnt) < 8  # few examples hold the word
+    new = [(1000, "rude"), (1001, "calm"), (1002, f"own{learnt[0]}"), (1003, "unseen"), (1004, None)]
+    out = toxicity.score_toxicity(spark.createDataFrame(rows + new, "doc_id long, text string"), labels).where("doc_id >= 1000").collect()
+    got = {r["doc_id"]: (r["predicted"], r["evidence"].split(":")[0]) for r in out}
+    assert got[1000][0] == 1 and int(got[1000][1]) >= 90
+    assert got[1001][0] == 0 and got[1001][1]
+    assert got[1002][1] == str(learnt[0])
+    assert got[1003][1] == got[1004][1] == ""
