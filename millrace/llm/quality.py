@@ -43,7 +43,7 @@ def statistics(text: str | None) -> list[float]:
     return [
         float(np.log1p(len(text))), float(np.log1p(len(words))), min(40.0, sum(sizes) / k), float(np.log1p(max(sizes, default=0))),
         low, up, digit, space, stop, comma, shout, bar, symbol, max(0.0, 1 - known) if raw else 0.0, high,
-        len(set(words)) / k, float(np.log1p(len(lines))), 1 - len(set(lines)) / len(lines), float(np.log1p(k / len(lines))), sum(w[0].isupper() for w in words[:1] + words[1::7]) / max(1, len(words[:1] + words[1::7])),
+        len(set(words)) / k, float(np.log1p(len(lines))), 1 - len(set(lines)) / len(lines), float(np.log1p(k / len(lines))), sum(w[0].isupper() for w in words) / k,
     ]
 
 

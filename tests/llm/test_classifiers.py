@@ -85,3 +85,9 @@ def test_every_word_of_the_examples_is_searched(spark):
     assert got[1001][0] == 0 and got[1001][1]
     assert got[1002][1] == str(learnt[0])
     assert got[1003][1] == got[1004][1] == ""
+
+
+def test_capital_words_counts_all_words():
+    at = quality.STATISTICS.index("capital_words")
+    assert quality.statistics("a b C D E F G H i j")[at] == 0.6
+    assert quality.statistics("A b")[at] == 0.5 and quality.statistics(None)[at] == quality.statistics("")[at] == 0
