@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of this machine import the library; on a cluster it is installed or sent with --py-files."""
+#: Rows of a batch of texts, for Arrow and for the Parquet reader, where the session doesn't say: their
+#: defaults (10,000 and 4,096) are made for narrow rows, and a batch of texts stands in the heap, in Arrow and in Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Batch sizes for texts, and the library's place for Python workers of this machine; on a cluster it is installed or sent with --py-files."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     home = str(pathlib.Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(":"):
@@ -35,7 +44,7 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -87,6 +96,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to clash with no column, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_column(text, limit=None):
     """Native words of a text column: lower-cased ASCII letters, digits and non-ASCII characters."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import spread, stage_table, table, work_path
+from millrace.llm.common import ranges, spread, stage_table, table, work_path
 
 HEAD = struct.Struct("<4sIQQQ")
 MAGIC = b"MRT1"
@@ -42,12 +42,17 @@ MAGIC = b"MRT1"
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 BLOCK_IDS = 1 << 18
 FILE_IDS = 6_000_000
-#: Words whose ids a worker remembers; a full memory starts anew.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker remembers, the most bytes of such a word, and the room for their ids.
+MEMORY_WORDS, MEMORY_LENGTH = 1 << 20, 15
+MEMORY_IDS = 4 * MEMORY_WORDS
+#: Bytes of text that a worker encodes at once.
+GROUP_BYTES = 1 << 22
 END_ID = 0
-#: Texts that this finds are tokenised whole: white space other than a space or newline, or such that isn't single and between words.
-ODD_SPACE = r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
+#: Texts that hold other white space than spaces and newlines are tokenised whole; so are those where such stand at an end or together.
+ODD_SPACE = r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
+#: Space and newline as byte-level vocabularies write them (fixed values).
+SPACES = ("\u0120", "\u010a")
 #: Words that one string hands to the tokenizer at once.
 JOINED = 1024
 _TOKENIZERS: dict[str, tuple] = {}
@@ -59,86 +64,181 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Memory:
+    """Ids of words, in arrays of a fixed size: a word's bytes and length are its key, so that no two words share one.
+
+    A full memory keeps the words that were in use since it was last full, or none if those are most.
+    """
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.words = np.empty((MEMORY_WORDS, 2), np.uint64)
+        self.used = np.zeros(MEMORY_WORDS, bool)
+        self.start = np.empty(MEMORY_WORDS, np.int64)
+        self.size = np.empty(MEMORY_WORDS, np.int64)
+        self.ids = np.empty(MEMORY_IDS, kind)
+        self._sort(0, 0)
+
+    def _sort(self, n: int, filled: int) -> None:
+        self.n, self.filled = n, filled
+        key = _mixed(self.words[:n])
+        self.row = np.argsort(key, kind="stable")
+        self.key = key[self.row]
+
+    def _forget(self) -> None:
+        keep = np.nonzero(self.used[: self.n])[0]
+        self.used[:] = False
+        size = self.size[keep]
+        if len(keep) > MEMORY_WORDS // 2 or size.sum() > MEMORY_IDS // 2:
+            return self._sort(0, 0)
+        self.ids[: size.sum()] = self.ids[ranges(self.start[keep], size)]
+        n = len(keep)
+        self.words[:n], self.size[:n], self.start[:n] = self.words[keep], size, np.cumsum(size) - size
+        self._sort(n, int(size.sum()))
+
+    def values(self, words: pa.Array, make) -> pa.Array:
+        """The ids of each of the distinct words, as binary; make gives those of the words that are not remembered."""
+        length = pc.binary_length(words).to_numpy()
+        short = np.nonzero(length <= MEMORY_LENGTH)[0]
+        fixed = np.frombuffer(pc.ascii_rpad(words.take(pa.array(short)), MEMORY_LENGTH + 1, "\0").buffers()[2] or b"", np.uint8, (MEMORY_LENGTH + 1) * len(short)).reshape(-1, MEMORY_LENGTH + 1).copy()
+        fixed[:, MEMORY_LENGTH] = length[short]
+        fixed = fixed.view("<u8")
+        key = _mixed(fixed)
+        row = np.append(self.row, -1)[np.searchsorted(self.key, key)]
+        known = row >= 0
+        known[known] = (self.words[row[known]] == fixed[known]).all(axis=1)
+        hit, row = short[known], row[known]
+        self.used[row] = True
+        new = np.ones(len(words), bool)
+        new[hit] = False
+        new = np.nonzero(new)[0]
+        made = make(words.take(pa.array(new)).to_pylist())
+        fresh_ids = np.frombuffer(b"".join(made), self.kind)
+        size = np.zeros(len(words), np.int64)
+        size[hit] = self.size[row]
+        size[new] = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+        end = np.cumsum(size)
+        out = np.empty(int(end[-1]) if len(end) else 0, self.kind)
+        out[ranges((end - size)[hit], size[hit])] = self.ids[ranges(self.start[row], size[hit])]
+        out[ranges((end - size)[new], size[new])] = fresh_ids
+        bounds = np.concatenate([[0], end * self.kind.itemsize]).astype(np.int32)
+        self._learn(short[~known], fixed[~known], key[~known], end - size, size, out)
+        return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(out)])
+
+    def _learn(self, at: np.ndarray, fixed: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        total = int(size[at].sum())
+        if self.n + len(at) > MEMORY_WORDS or self.filled + total > MEMORY_IDS:
+            self._forget()
+        if self.n + len(at) > MEMORY_WORDS or self.filled + total > MEMORY_IDS or not len(at):
+            return
+        a, n = self.n, self.n + len(at)
+        own = size[at]
+        self.words[a:n], self.size[a:n], self.start[a:n], self.used[a:n] = fixed, own, self.filled + np.cumsum(own) - own, False
+        self.ids[self.filled : self.filled + total] = ids[ranges(start[at], own)]
+        order = np.argsort(key, kind="stable")
+        place = np.searchsorted(self.key, key[order])
+        self.key, self.row = np.insert(self.key, place, key[order]), np.insert(self.row, place, a + order)
+        self.n, self.filled = n, self.filled + total
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
+    """A number of each word's two halves that sorts words evenly."""
+    x = words[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ words[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
 def _tokenizer(path: str):
-    """This worker's tokenizer, its memory of words, the id of a newline and the type of ids.
+    """This worker's tokenizer, its memory of words, which ids begin a word, the type of ids and a pattern of what must be tokenised whole.
 
     The memory serves byte-level BPE with the usual pattern, which never matches across a
-    single newline nor across the place before a single space; the id is None for others.
+    single newline nor across the place before a single space, so that a word's first id alone
+    begins with one of them; no ids are given for others. Texts that hold a token which the
+    tokenizer was given beside its vocabulary are tokenised whole.
     """
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         made = json.loads(tok.to_str())
         cut = made["pre_tokenizer"] or {}
         plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made["normalizer"]
-        newline = tok.encode("\n", add_special_tokens=False).ids
         kind = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
-        _TOKENIZERS[path] = (tok, {}, newline[0] if plain and len(newline) == 1 else None, kind)
+        starts = np.zeros(1 + max(tok.get_vocab().values()), bool)
+        starts[[k for w, k in tok.get_vocab().items() if w[:1] in SPACES]] = True
+        whole = "|".join([ODD_SPACE, *(re.sub(r"([^0-9A-Za-z])", r"\\\1", t["content"]) for t in made["added_tokens"])])
+        _TOKENIZERS[path] = (tok, Memory(kind), starts if plain else None, kind, whole)
     return _TOKENIZERS[path]
 
 
-def _remember(tok, cache: dict, new: list[str], newline: int, kind: np.dtype) -> None:
-    """Ids of new words, each behind a newline, many in one string.
+def _word_ids(tok, new: list[str], starts: np.ndarray, kind: np.dtype) -> list[bytes]:
+    """Ids of new words, many in one string; starts tells of each id whether it begins a word there.
 
     A word that stands after a newline, or first, has a newline in front; others stand for the word behind a space.
     """
-    groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
-    joined = ["".join(k if k[0] == "\n" else f"\n {k}" for k in g) + "\n" for g in groups]
-    for group, enc in zip(groups, tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-        ids = np.array(enc.ids, kind)
-        at = (kind.itemsize * np.flatnonzero(ids == newline)).tolist()
-        if len(at) != len(group) + 1:
-            for k in group:
-                cache[k] = np.array(tok.encode(k if k[0] == "\n" else f" {k}", add_special_tokens=False).ids, kind).tobytes()
-            continue
-        raw, skip = ids.tobytes(), kind.itemsize
-        cache.update((k, raw[x if k[0] == "\n" else x + skip : y]) for k, x, y in zip(group, at, at[1:], strict=False))
-
-
-def _encode_regular(texts: pa.Array, path: str) -> list[np.ndarray]:
-    """Ids of texts whose white space is single spaces and newlines between words.
-
-    Words are told apart and coded by Arrow; only distinct ones are looked up.
+    found: list[bytes | None] = [None] * len(new)
+    line = [k for k, w in enumerate(new) if w[:1] == "\n"]
+    word = [k for k, w in enumerate(new) if w[:1] != "\n"]
+    for at, mark in ((line, ""), (word, " ")):
+        for low in range(0, len(at), JOINED):
+            group = at[low : low + JOINED]
+            texts = [mark + new[k] for k in group]
+            ids = np.array(tok.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, kind)
+            cut = (kind.itemsize * np.flatnonzero(starts[ids])).tolist()
+            if len(cut) == len(group):
+                raw = ids.tobytes()
+                got = [raw[x:y] for x, y in zip(cut, [*cut[1:], len(raw)], strict=True)]
+            else:
+                got = [np.array(tok.encode(t, add_special_tokens=False).ids, kind).tobytes() for t in texts]
+            for k, v in zip(group, got, strict=True):
+                found[k] = v
+    return found
+
+
+def _encode_regular(texts: pa.Array, path: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Ids of texts whose white space is single spaces and newlines between words, and where it isn't.
+
+    Words are told apart, coded and joined by Arrow; only distinct ones are looked up.
     """
-    tok, cache, newline, kind = _tokenizer(path)
-    marked = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n")
-    words = pc.split_pattern(marked, " ")
-    coded = words.flatten().dictionary_encode()
-    known, codes, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), words.offsets.to_numpy()
-    new = [w for w in known if w not in cache]
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = known
-    _remember(tok, cache, new, newline, kind)
-    values = [cache[w] for w in known]
-    size = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
-    flat, own = np.frombuffer(b"".join(values), kind), size[codes]
-    ends = np.cumsum(own)
-    ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(size) - size)[codes] - (ends - own), own)]
-    at = np.concatenate([[0], ends])[bounds - bounds[0]]
-    return [ids[a + 1 : b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+    tok, memory, starts, kind, _ = _tokenizer(path)
+    words = pc.split_pattern(pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n"), " ")
+    coded, bounds = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+    values = memory.values(coded.dictionary, lambda new: _word_ids(tok, new, starts, kind))
+    taken = values.take(coded.indices)
+    ids = np.frombuffer(taken.buffers()[2] or b"", kind)
+    at = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)[bounds - bounds[0]] // kind.itemsize
+    lone = np.flatnonzero(pc.is_in(coded.dictionary, pa.array(["", "\n"])).to_numpy(zero_copy_only=False))
+    odd = np.zeros(len(texts), bool)
+    if len(lone):
+        odd[np.searchsorted(bounds - bounds[0], np.flatnonzero(np.isin(coded.indices.to_numpy(), lone)), side="right") - 1] = True
+    return [ids[a + 1 : b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], odd
 
 
 def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
     """Ids of each text, without special tokens; none for null."""
-    tok, _, newline, kind = _tokenizer(path)
+    tok, _, starts, kind, pattern = _tokenizer(path)
     texts = pc.fill_null(texts, "")
-    odd = pc.or_(pc.match_substring_regex(texts, ODD_SPACE), pa.scalar(newline is None)).to_numpy(zero_copy_only=False)
-    odd |= pc.equal(texts, "").to_numpy(zero_copy_only=False)
-    whole = texts.filter(pa.array(odd)).to_pylist()
-    others = iter(np.array(e.ids, kind) for e in (tok.encode_batch_fast(whole, add_special_tokens=False) if whole else ()))
-    regular = iter(_encode_regular(texts.filter(pa.array(~odd)), path) if not odd.all() else ())
-    return [next(others) if o else next(regular) for o in odd.tolist()]
-
-
-STAGE = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary())])
-STAGE_SQL = "doc_id long, mark long, n long, width int, ids binary"
-
-
-def _groups(texts: pa.Array, limit: int = 1 << 22):
+    whole = np.full(len(texts), True) if starts is None else pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    at = np.flatnonzero(~whole)
+    if len(at):
+        found, odd = _encode_regular(texts.take(pa.array(at)), path)
+        for k, ids in zip(at.tolist(), found, strict=True):
+            out[k] = ids
+        whole[at[odd]] = True
+    # One at a time, for the library's own tables of a text are many times its size.
+    for k in np.flatnonzero(whole).tolist():
+        out[k] = np.array(tok.encode_batch_fast([texts[k].as_py()], add_special_tokens=False)[0].ids, kind)
+    return out
+
+
+#: One row for each document, and one for each task with how often it has seen each id.
+STAGE = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
+STAGE_SQL = "doc_id long, mark long, n long, width int, ids binary, counts binary"
+
+
+def _groups(texts: pa.Array, limit: int = GROUP_BYTES):
     """Slices of about limit bytes, so that a batch of long texts stays bounded."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -149,20 +249,25 @@ def _groups(texts: pa.Array, limit: int = 1 << 22):
 
 
 def tokenise(path: str):
-    """Adds the end id to each text's ids and packs them."""
+    """Adds the end id to each text's ids, packs them and counts them."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, seen = zstandard.ZstdCompressor(level=1), np.zeros(1, np.int64)
         for batch in batches:
             texts = batch.column(2)
             for part in _groups(texts):
                 found = [np.append(ids, ids.dtype.type(END_ID)) for ids in encode_texts(texts[part], path)]
+                got = np.bincount(np.concatenate(found))
+                if len(got) > len(seen):
+                    seen = np.append(seen, np.zeros(len(got) - len(seen), np.int64))
+                seen[: len(got)] += got
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[part], batch.column(1)[part], pa.array([len(x) for x in found], pa.int64()), pa.array([x.itemsize for x in found], pa.int32()),
-                        pa.array([pack.compress(x) for x in found], pa.binary()),
+                        pa.array([pack.compress(x) for x in found], pa.binary()), pa.nulls(len(found), pa.binary()),
                     ], schema=STAGE,
                 )
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in STAGE][:-1] + [pa.array([pack.compress(seen.astype("<i8"))], pa.binary())], schema=STAGE)
 
     return run
 
@@ -172,11 +277,11 @@ def _unpacked(width: int, blob: bytes, unpack) -> np.ndarray:
 
 
 def count_ids(batches):
-    """Rows (id, n) of one task."""
+    """Rows (id, n) of the counts of some tasks."""
     unpack, total = zstandard.ZstdDecompressor(), np.zeros(1, np.int64)
     for batch in batches:
-        for w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.bincount(_unpacked(w, b, unpack))
+        for blob in batch.column(0).to_pylist():
+            got = np.frombuffer(unpack.decompress(blob), "<i8")
             if len(got) > len(total):
                 total = np.append(total, np.zeros(len(got) - len(total), np.int64))
             total[: len(got)] += got
@@ -261,19 +366,20 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None) -
     """Write docs (doc_id long, text string; other columns are ignored) below the folder out.
 
     Null and empty texts give the end id alone; null ids come first; equal ids keep a
-    defined order by length and hash; an empty table gives files without blocks.
+    defined order by length and hash; an empty table gives files without blocks. A very long text is
+    encoded whole and stands in one block.
     """
     spark = docs.sparkSession
     staged = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tokenise(tokenizer or default_tokenizer()), STAGE_SQL)
     staged = stage_table(staged, "tokens", "snappy", f"{out}/staged")
-    counts = staged.select("width", "ids").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = staged.where("counts IS NOT NULL").select("counts").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row per vocabulary entry: bounded by the tokenizer, not by the corpus.
     ranked = counts.orderBy(F.desc("n"), "id").collect()
     spark.createDataFrame([(k, r["id"], r["n"]) for k, r in enumerate(ranked)], "rank int, id long, n long").coalesce(1).write.parquet(f"{out}/ranks")
     order = spark.sparkContext.broadcast(np.array([r["id"] for r in ranked], np.int64))
     total = sum(r["n"] for r in ranked)
     n_files = max(1, -(-total // FILE_IDS))
-    sorted_docs = staged.repartitionByRange(n_files, "doc_id", "n", "mark").sortWithinPartitions("doc_id", "n", "mark")
+    sorted_docs = staged.where("counts IS NULL").drop("counts").repartitionByRange(n_files, "doc_id", "n", "mark").sortWithinPartitions("doc_id", "n", "mark")
     blocks = sorted_docs.select("doc_id", "width", "ids").mapInArrow(_encode(order), "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/files")
 
@@ -328,4 +434,5 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and what they hold of each: encode_documents()."""
     return encode_documents(spread(table(spark, sf_dir, "documents")))

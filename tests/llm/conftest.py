@@ -1,6 +1,6 @@
 import pytest
 
-from millrace.llm.common import importable
+from millrace.llm.common import prepare
 
 LONG = " ".join(f"word{k % 997} und{k % 31}" for k in range(30_000))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, rank string, score string, node string, key string, start string"
@@ -8,7 +8,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, size
 
 @pytest.fixture(autouse=True)
 def workers(spark):
-    importable(spark)
+    prepare(spark)
 
 
 def _row(doc_id, text, lang="en", source="s1"):

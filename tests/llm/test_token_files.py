@@ -18,21 +18,30 @@ PATH = tf.default_tokenizer()
 @pytest.fixture(scope="module")
 def plain():
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab e\n\t .,'s1é 　\x1c\x85日😀")), max_size=8))
+@given(st.lists(st.text(st.sampled_from("ab e\n\t .,<|'s1é 　\x1c\x85日😀")), max_size=8))
 def test_ids_are_the_tokenizers(texts):
     tok = Tokenizer.from_file(PATH)
     got = tf.encode_texts(pa.array(texts, pa.string()), PATH)
     assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_special_tokens_are_text(plain):
-    text = "<|endoftext|> a <|endoftext|>b"
-    assert tf.encode_texts(pa.array([text]), PATH)[0].tolist() == plain(text) and 50256 not in plain(text)
+@pytest.mark.parametrize("text", ["<|endoftext|> a <|endoftext|>b", "a <|endoftext|>\nb c", "x<|endoftext|>", "<|endoftext| > a"])
+def test_added_tokens_are_the_tokenizers(plain, text):
+    assert tf.encode_texts(pa.array(["a b", text, None]), PATH)[1].tolist() == plain(text) and (50256 in plain(text)) == ("<|endoftext|>" in text)
+
+
+def test_memory_is_bounded_and_right(plain, monkeypatch):
+    for words, ids in ((50, 4000), (4000, 90)):
+        monkeypatch.setattr(tf, "MEMORY_WORDS", words)
+        monkeypatch.setattr(tf, "MEMORY_IDS", ids)
+        monkeypatch.setattr(tf, "_TOKENIZERS", {})
+        for k in range(20):
+            texts = [" ".join(f"w{(k * j) % 300}" for j in range(30 + k)), "a " + "long" * 40 + " b\0 b", "the same words", " a", "a\n", "a  b"]
+            assert [g.tolist() for g in tf.encode_texts(pa.array(texts), PATH)] == [plain(t) for t in texts]
 
 
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50), st.integers(0, 3))
