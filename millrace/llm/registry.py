@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from millrace.llm import decontaminate, jaccard_join, lines, mixing, neighbours, pii, quality, sharding, toxicity
+from millrace.llm import decontaminate, jaccard_join, lines, mixing, neighbours, pii, pipeline, quality, sharding, toxicity
 from millrace.llm.token_files import op1_token_files
 
 QUERIES = {
@@ -17,7 +16,7 @@ QUERIES = {
     "op8_line_spread": lines.op8_line_spread,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_quality": quality.op10_quality,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_hilbert_shards": sharding.ORACLE,
