@@ -1,65 +1,5 @@
-"""A corpus pipeline: documents to token files in five stages.
+"""The corpus pipeline, registered as query pipeline; its stages stand in millrace.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but
-the last return the columns of documents. run() writes each stage's rows as Parquet and reads
-them back for the next.
-"""
+from millrace.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from millrace.llm import decontaminate, jaccard_join, mixing, token_files, toxicity
-from millrace.llm.common import importable, stage_table, table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity below the threshold; texts without evidence stay."""
-    importable(spark)
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-copy class, the one with the smallest id; rows without id stay."""
-    importable(spark)
-    return jaccard_join.keep_one(docs)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    importable(spark)
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    importable(spark)
-    return mixing.mixed_rows(docs)
-
-
-def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents; returns their index."""
-    importable(spark)
-    return token_files.encode_documents(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
-    ("decontamination", drop_leaks),
-    ("mixing", mix_sources),
-    ("token_files", encode_tokens),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}", "snappy")
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
-#: The near-copy classes and the nearest-example scores have no SQL form.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
