@@ -3,15 +3,17 @@
 Texts are sets of five-word shingles; two texts are linked if their Jaccard similarity is 0.8
 or more. MinHash values find candidates: BANDS bands of ROWS values, where a pair at exactly 0.8
 is missed with probability (1 - 0.8^ROWS)^BANDS = 9e-8, and more similar pairs more rarely.
-Candidates are joined into clusters, a superset of the links' components, so that a pair is
-looked at once however many bands it shares. Within a cluster the MinHash values of a pair are
-compared block by block, and the pair is dropped as soon as the posterior probability of
-reaching the threshold (uniform prior) falls below TOLERANCE; what remains is verified on the
-exact shingle sets (64-bit hashes).
-
-Pairs are never emitted: a cluster is cut into blocks of about BLOCK texts, each pair of blocks
-is one bounded unit of work, and it returns link counts and a spanning forest of its links.
-Copies are one node; they are never expanded.
+
+Candidates' MinHash values are compared step by step, and a pair is dropped as soon as the
+posterior probability of reaching the threshold (uniform prior) falls below TOLERANCE. This
+happens twice. Within the buckets of each band, single bytes of the values tell which texts hang
+together; what loosely similar texts share is cut here, so that clusters grow along pairs that may
+well reach the threshold, not along band collisions. Within a cluster the whole values are
+compared, and what remains is verified on the exact shingle sets (64-bit hashes).
+
+Pairs are never emitted: buckets and clusters are cut into blocks, each pair of blocks is one
+bounded unit of work, and it returns link counts and a spanning forest of its links. A node is a
+text, whatever the ids of its rows; copies are one node and are never expanded.
 """
 
 from __future__ import annotations
@@ -23,19 +25,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import spread, stage_table, table, words_of
+from millrace.llm.common import fresh, ranges, spread, stage_table, table, words_of
 from millrace.llm.components import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)
 BANDS, ROWS = 41, 5
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-9
-BLOCK = 128
+#: Texts of a block of a bucket, of a cluster's block, and of one in a cluster of more than MANY blocks.
+NEAR_BLOCK, BLOCK, MOST, MANY = 512, 128, 2048, 32
 #: Shingles of a text that are hashed at once.
 PIECE = 100_000
 #: Cells of the largest incidence matrix; beyond, sets are intersected pair by pair.
-CELLS = 20_000_000
+CELLS = 8_000_000
+#: Pairs that are compared at once.
+PAIRS = 1 << 18
 
 _RNG = np.random.default_rng(20240)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -98,17 +104,20 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return _mix(x + np.arange(BANDS, dtype=np.uint64) * _BASE).view(np.int64)
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary())])
 
 
 def _sketch(batches):
     for batch in batches:
-        keys, bands = [], []
-        for text in batch.column(1).to_pylist():
+        keys, bands, low = [], [], []
+        for text in batch.column(1):
+            text = text.as_py()
             got = shingles(text)
-            keys.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest())
-            bands.append(band_keys(signature(got)) if len(got) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(bands, pa.list_(pa.int64()))], schema=SKETCH)
+            sig = signature(got)
+            keys.append(hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest())
+            bands.append(band_keys(sig) if len(got) else [])
+            low.append(sig.astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], schema=SKETCH)
 
 
 MEMBERS = pa.schema([("cluster", pa.int64()), ("blocks", pa.int64()), ("block", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("hashes", pa.binary())])
@@ -116,19 +125,19 @@ MEMBERS = pa.schema([("cluster", pa.int64()), ("blocks", pa.int64()), ("block",
 
 def _members(batches):
     for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns[:-1]]
-        sets = [shingles(t) for t in batch.columns[-1].to_pylist()]
-        out = [*zip(*cols, (signature(s).tobytes() for s in sets), (s.tobytes() for s in sets), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), MEMBERS, strict=True)], schema=MEMBERS)
+        sets = [shingles(t.as_py()) for t in batch.columns[-1]]
+        made = [pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], schema=MEMBERS)
 
 
-def least_matches(n: int, tolerance: float = TOLERANCE) -> int:
-    """Fewest equal values among n for which a pair stays.
+def least_matches(n: int, tolerance: float = TOLERANCE, by_chance: float = 0.0) -> int:
+    """Fewest equal values among n for which a pair stays; by_chance: how often unequal values look equal.
 
-    With a uniform prior the posterior of similarity t or more after m equal values of n is
-    P(Binomial(n + 1, t) <= m).
+    With a uniform prior on the share of equal values, the posterior of t or more after m equal
+    values of n is P(Binomial(n + 1, t) <= m).
     """
     t, total = THRESHOLD[0] / THRESHOLD[1], 0.0
+    t += (1 - t) * by_chance
     for m in range(n + 1):
         total += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
         if total >= tolerance:
@@ -137,6 +146,9 @@ def least_matches(n: int, tolerance: float = TOLERANCE) -> int:
 
 
 _LEAST = [least_matches(BLOCK_OF * ROWS) for BLOCK_OF in range(BANDS + 1)]
+#: The same for single bytes after so many of them.
+STEPS = (25, 60, 120, HASHES)
+_LEAST_BYTES = [least_matches(n, by_chance=1 / 256) for n in STEPS]
 
 
 def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +163,66 @@ def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return a, b
 
 
+def likely(low: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of paired rows of bytes of MinHash values comparing them step by step does not rule out."""
+    at, equal, done = np.arange(max(len(low), len(other))), 0, 0
+    low, other = np.broadcast_arrays(low, other)
+    for n, least in zip(STEPS, _LEAST_BYTES, strict=True):
+        equal = equal + (low[at, done:n] == other[at, done:n]).sum(axis=1, dtype=np.int32)
+        keep = equal >= least
+        at, equal, done = at[keep], equal[keep], n
+    return at
+
+
+def hanging(low: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest (row, row) of the likely pairs of a unit's rows; what already hangs together isn't compared."""
+    apart, forest = np.arange(len(low)), []
+    while len(apart) > 1:
+        front, apart = [int(apart[0])], apart[1:]
+        while front and len(apart):
+            x = front.pop()
+            at = likely(low[x : x + 1], low[apart])
+            found = apart[at].tolist()
+            forest += [(x, y) for y in found]
+            front += found
+            apart = np.delete(apart, at)
+    return forest
+
+
+NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _near(batches):
+    """Consumes rows (band, low, high, node, bytes) sorted by the first three; holds one batch and one pair of blocks."""
+    rest = None
+
+    def forest(node, low, cuts):
+        size = np.diff(cuts)
+        two = cuts[:-1][size == 2]
+        good = two[likely(low[two], low[two + 1])] if len(two) else two
+        edges = [(node[good], node[good + 1])]
+        for at, n in zip(cuts[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if found := hanging(low[at : at + n]):
+                x, y = np.array(found).T + at
+                edges.append((node[x], node[y]))
+        a, b = (np.concatenate(c) for c in zip(*edges, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=NEAR)
+
+    for batch in batches:
+        key = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+        node = batch.column(3).to_numpy()
+        low = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, HASHES)
+        if rest is not None:
+            key, node, low = (np.concatenate(c) for c in zip(rest, (key, node, low), strict=True))
+        cuts = np.concatenate([[0], 1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1))])
+        last = cuts[-1]
+        rest = key[last:], node[last:], low[last:]
+        if last:
+            yield forest(node[:last], low[:last], cuts)
+    if rest is not None:
+        yield forest(rest[1], rest[2], np.array([0, len(rest[1])]))
+
+
 def verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether each pair's exact similarity reaches the threshold."""
     size = np.array([len(s) for s in sets])
@@ -167,32 +239,38 @@ def verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 def links_within(nodes: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], low: int, high: int):
     """(node, links) and forest edges (node, node) of one pair of blocks."""
-    if low == high:
-        a, b = np.triu_indices(len(nodes), 1)
-    else:
-        x, y = np.nonzero(block == low)[0], np.nonzero(block == high)[0]
-        a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-    size = np.array([len(s) for s in sets])
-    close = THRESHOLD[1] * np.minimum(size[a], size[b]) >= THRESHOLD[0] * np.maximum(size[a], size[b])
-    a, b = surviving(sig, a[close], b[close])
-    if not len(a):
-        return [], []
-    good = verified(sets, a, b)
-    a, b = a[good], b[good]
-    count = np.bincount(np.concatenate([a, b]), minlength=len(nodes))
-    root = list(range(len(nodes)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    forest = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        if (p := find(i)) != (q := find(j)):
-            root[max(p, q)] = min(p, q)
-            forest.append((int(nodes[i]), int(nodes[j])))
-    return [(int(nodes[k]), int(n)) for k, n in enumerate(count) if n], forest
+    n, size = len(nodes), np.array([len(s) for s in sets])
+    order = np.argsort(block != low, kind="stable")
+    cut = int((block == low).sum())
+    # Row k is paired with all rows behind it in its block, or with all of the other block.
+    first = np.arange(1, n + 1) if low == high else np.full(cut, cut)
+    per, count, a_all, b_all, begin = n - first, np.zeros(n, np.int64), [], [], 0
+    while begin < len(per):
+        end = max(begin + 1, int(np.searchsorted(np.cumsum(per[begin:]), PAIRS)) + begin)
+        a, b = np.repeat(np.arange(begin, min(end, len(per))), per[begin:end]), ranges(first[begin:end], per[begin:end])
+        a, b, begin = order[a], order[b], end
+        close = THRESHOLD[1] * np.minimum(size[a], size[b]) >= THRESHOLD[0] * np.maximum(size[a], size[b])
+        a, b = surviving(sig, a[close], b[close])
+        if len(a):
+            good = verified(sets, a, b)
+            a_all.append(a[good]), b_all.append(b[good])
+            count += np.bincount(a[good], minlength=n) + np.bincount(b[good], minlength=n)
+    forest = spanning(n, np.concatenate(a_all), np.concatenate(b_all)) if a_all else []
+    return [(int(nodes[k]), int(c)) for k, c in enumerate(count) if c], [(int(nodes[x]), int(nodes[y])) for x, y in forest]
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join each of n nodes to the least of its component."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            return [(int(k), int(c)) for k, c in enumerate(label) if k != c]
+        label = new
 
 
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -203,8 +281,6 @@ def _pairs(batches):
     key, rows, out = None, [], []
 
     def close():
-        seen = {r[1]: r for r in rows}
-        rows[:] = seen.values()
         if len(rows) > 1:
             sets = [np.frombuffer(r[3], np.uint64) for r in rows]
             sig = np.stack([np.frombuffer(r[2], np.uint32) for r in rows])
@@ -232,59 +308,89 @@ def _pairs(batches):
         yield from made()
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, text_id, n_copies) for each row of docs.
+def _cut(n, block: int, most: int | None = None, many: int = 0):
+    """Number of blocks of n texts: of block texts each, or of up to most where that makes more than many."""
+    blocks = F.ceil(n / block)
+    return blocks if most is None else F.least(blocks, F.greatest(F.lit(many).cast("long"), F.ceil(n / most)))
 
-    docs needs doc_id and text; other columns are ignored. class_id is the smallest id of the
-    link component, n_links the number of different texts linked to the row's text, text_id the
-    smallest id of rows with the same text, n_copies their number. Null and empty texts are one
-    text without links, as are texts without words; a text of fewer than five words is one
-    shingle. Rows without id get null classes and no links; rows that share an id are one
-    document. Empty tables give no rows.
-    """
-    sketch = stage_table(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, text_key string, bands array<long>"), "sketches")
-    known = sketch.where("doc_id IS NOT NULL")
-    texts = stage_table(known.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"), F.first("bands").alias("bands")), "texts")
+
+def _units(placed: DataFrame, group: str, *more: str) -> DataFrame:
+    """One row for each pair of blocks that a row of placed (group, blocks, block, node) belongs to."""
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.select(group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *more)
+    return units.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+
+
+def _text_key():
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows (doc_id, text_key), and of the texts (text_key, low_id, n_copies, n_links, class_id, lead)."""
+    sketch = stage_table(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, text_key binary, bands array<long>, bytes binary"), "sketches")
+    texts = sketch.groupBy("text_key").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    # Written once, so that a text's number is fixed.
+    texts = stage_table(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     keys = texts.select("node", F.explode("bands").alias("band"))
-    shared = stage_table(keys.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    clusters = stage_table(components(keys.join(shared, "band").select(F.col("node").alias("a"), F.col("lead").alias("b"))), "clusters")
-    sizes = stage_table(clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "cluster-sizes")
-    placed = clusters.join(sizes, "component").select(
-        F.col("component").alias("cluster"), "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block"), "node"
-    )
-    members = placed.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").select("cluster", "blocks", "block", "node", "text")
-    members = members.mapInArrow(_members, "cluster long, blocks long, block long, node long, sig binary, hashes binary")
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "sig", "hashes")
-    found = units.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high").mapInArrow(_pairs, "a long, b long, links long")
+    shared = stage_table(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", _cut(F.col("n"), NEAR_BLOCK).alias("blocks")), "buckets")
+    spot = F.expr("pmod(xxhash64(node), blocks)")
+    near = keys.join(shared, "band").join(texts.select("node", "bytes"), "node").withColumn("block", spot)
+    near = _units(near, "band", "node", "bytes").mapInArrow(_near, "a long, b long")
+    clusters = stage_table(components(near), "clusters")
+    sizes = stage_table(clusters.groupBy("component").agg(F.count("*").alias("n")).select("component", _cut(F.col("n"), BLOCK, MOST, MANY).alias("blocks")), "cluster-sizes")
+    placed = clusters.join(sizes, "component").join(texts.select("node", "text_key"), "node").select(F.col("component").alias("cluster"), "blocks", spot.alias("block"), "node", "text_key")
+    # Copies go before they are shuffled.
+    whole = docs.select(_text_key().alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
+    members = placed.join(whole, "text_key").select("cluster", "blocks", "block", "node", "text").mapInArrow(_members, "cluster long, blocks long, block long, node long, sig binary, hashes binary")
+    found = _units(members, "cluster", "block", "node", "sig", "hashes").mapInArrow(_pairs, "a long, b long, links long")
     found = stage_table(found, "links")
     counts = found.where("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    classes = components(found.where("links IS NULL").select("a", "b"))
-    named = texts.select("text_key", "node", "n_copies").join(counts, "node", "left").join(classes.withColumnRenamed("component", "class_id"), "node", "left")
-    named = stage_table(named, "text-classes")
-    rows = sketch.select("doc_id", "text_key").where("doc_id IS NOT NULL").join(named, "text_key")
-    rows = rows.select(
-        "doc_id", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("node").alias("text_id"), "n_copies"
-    )
-    none = F.lit(None).cast("long")
-    lost = sketch.where("doc_id IS NULL").select("doc_id", none.alias("class_id"), F.lit(0).cast("long").alias("n_links"), none.alias("text_id"), F.lit(1).cast("long").alias("n_copies"))
-    return rows.unionByName(lost)
+    classes = components(found.where("links IS NULL").select("a", "b")).withColumnRenamed("component", "lead")
+    named = texts.select("text_key", "node", "low_id", "n_copies").join(counts, "node", "left").join(classes, "node", "left")
+    named = stage_table(named.withColumn("lead", F.coalesce("lead", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")), "text-links")
+    least = named.groupBy("lead").agg(F.min("low_id").alias("class_id"))
+    return sketch.select("doc_id", "text_key"), stage_table(named.join(least, "lead").drop("node"), "text-classes")
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, text_id, n_copies) for each row of docs.
+
+    docs needs doc_id and text; other columns are ignored. Texts are compared, whatever ids their rows have:
+    class_id is the smallest id of the link component, n_links the number of different texts linked
+    to the row's text, text_id the smallest id of rows with the same text, n_copies their number; ids of
+    null are passed over, and where there is no other the id is null. Null and empty texts are one
+    text without links, as is each text without words; a text of fewer than five words is one
+    shingle. A very long text is hashed in pieces and is one set. Empty tables give no rows.
+    """
+    rows, texts = _classified(docs)
+    return rows.join(texts, "text_key").select("doc_id", "class_id", "n_links", F.col("low_id").alias("text_id"), "n_copies")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class, all its columns; rows without id stay."""
-    named = jaccard_classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(stage_table(named, "kept-ids"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of docs for each class, all its columns.
+
+    It is the row with the smallest id (null after all others), then that of the text with the smallest MD5, then
+    that with the smallest hash of its plain columns.
+    """
+    rows, texts = _classified(docs)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    chosen = rows.join(texts.select("text_key", "lead"), "text_key").groupBy("lead").agg(F.min(first).alias("r")).select("r.doc_id", "r.text_key")
+    of, key, order, row = fresh(docs.columns, "of", "key", "order", "row")
+    chosen = stage_table(chosen.select(F.col("doc_id").alias(of), F.col("text_key").alias(key)), "kept-rows")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.ArrayType | T.StructType | T.VariantType)]
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.coalesce(F.xxhash64(*plain), F.lit(0)).alias(order), _text_key().alias(key), F.col("doc_id").alias(of))
+    kept = named.join(chosen.withColumnsRenamed({of: f"{of}_", key: f"{key}_"}), (F.col(key) == F.col(f"{key}_")) & F.col(of).eqNullSafe(F.col(f"{of}_")), "left_semi")
+    return kept.groupBy(key, of).agg(F.min_by(row, order).alias(row)).select(f"{row}.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_classes() of all documents."""
     return jaccard_classes(spread(table(spark, sf_dir, "documents")))
 
 
 ORACLE = r"""
 WITH RECURSIVE t AS (
-  SELECT coalesce(text, '') AS text, min(doc_id) AS node, count(*) AS n_copies FROM documents WHERE doc_id IS NOT NULL GROUP BY 1
+  SELECT row_number() OVER () AS node, text, low_id, n_copies FROM (SELECT coalesce(text, '') AS text, min(doc_id) AS low_id, count(*) AS n_copies FROM documents GROUP BY 1)
 ), w AS (
   SELECT node, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t
 ), p AS (
@@ -300,11 +406,12 @@ WITH RECURSIVE t AS (
 ), r AS (
   SELECT node, node AS label FROM t UNION SELECT l.b, r.label FROM r JOIN l ON r.node = l.a WHERE r.label < l.b
 ), k AS (
-  SELECT node, min(label) AS class_id FROM r GROUP BY node
+  SELECT node, min(label) AS lead FROM r GROUP BY node
+), m AS (
+  SELECT lead, min(low_id) AS class_id FROM k JOIN t USING (node) GROUP BY lead
 ), n AS (
   SELECT a AS node, count(*) AS n_links FROM l GROUP BY a
 )
-SELECT d.doc_id, k.class_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, t.node AS text_id, CAST(t.n_copies AS BIGINT) AS n_copies
-FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN k ON k.node = t.node LEFT JOIN n ON n.node = t.node WHERE d.doc_id IS NOT NULL
-UNION ALL SELECT doc_id, NULL, 0, NULL, 1 FROM documents WHERE doc_id IS NULL
+SELECT d.doc_id, m.class_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, t.low_id AS text_id, CAST(t.n_copies AS BIGINT) AS n_copies
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN k ON k.node = t.node JOIN m ON m.lead = k.lead LEFT JOIN n ON n.node = t.node
 """
