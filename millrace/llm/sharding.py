@@ -1,12 +1,14 @@
 """Sharding by Hilbert-curve ordering.
 
-Source, language, size and id are quantised to 2^BITS equal-depth bins each; rows are ordered by
-the Hilbert index of their cell and cut into runs of equal row counts, so that every shard
-covers a compact box of the four dimensions and a reader can skip shards by min/max.
-
-The global order is never sorted in one place: rows are counted by cell, large cells are cut
-into pieces by a hash of the id, and a row's rank is its cell's offset, its piece's offset and
-its place in the piece.
+Source, language, size and id are quantised to 2^BITS equal-depth bins each, cut at exact ranks of
+their values; rows are ordered by the Hilbert index of their cell and cut into runs of equal row
+counts, so that every shard covers a compact box of the four dimensions and a reader can skip
+shards by min/max. write_shards() and read_shards() do so.
+
+A global order is never sorted in one place. Equal rows are one row with a count. Values are
+counted, dealt by ranges and added up range by range; rows are counted by cell, large cells are
+cut into pieces by a hash of the row, and a row's rank is its cell's offset, its piece's offset
+and its place in the piece.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import spread, stage_table, table
+from millrace.llm.common import fresh, spread, stage_table, table
 
 DIMS, BITS = 4, 3
 SHARDS = 24
@@ -59,89 +61,162 @@ def hilbert_table(dims: int = DIMS, bits: int = BITS) -> list[tuple[int, int]]:
     return out
 
 
-def _text_code(c: Column, low: Column, high: Column) -> Column:
-    """Two bytes of a string behind what all strings share, as a number: keeps the strings' order."""
-    shared = F.size(F.filter(F.sequence(F.lit(1), F.lit(64)), lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n)))
-    shared = F.least(shared, F.length(low))
-    raw = F.hex(F.substring(c, shared + 1, F.lit(64)).cast("binary"))
-    return F.coalesce(F.conv(F.rpad(F.substring(raw, 1, 4), 4, "0"), 16, 10).cast("long"), F.lit(0)) + F.when(c.isNull(), 0).otherwise(1)
+def _row_columns(text: str = "text") -> dict[str, Column]:
+    """What a row is ordered by, beside doc_id: source, lang, size and text_crc32."""
+    return {
+        "source": F.col("source"),
+        "lang": F.col("lang"),
+        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long"),
+        "text_crc32": F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long"),
+    }
+
+
+def _mix() -> Column:
+    """32 bits that order the rows of a cell."""
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size").cast("string"), F.lit(":"), F.col("text_crc32").cast("string"))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+#: Each dimension as a string or a number; the other is null.
+VALUES = (("source", None), ("lang", None), (None, "size"), (None, "doc_id"))
+
+
+def equal_depth_cuts(rows: DataFrame, total: int) -> list[list[tuple[int, object]]]:
+    """For each dimension (bin, smallest value of the bin) of its bins above 0, for rows with a count n.
 
+    A value's bin follows from the number of rows with smaller values; nulls are the smallest. At most 2^BITS - 1 cuts a dimension.
+    """
+    each = F.array(*(F.struct(F.lit(k).alias("dim"), (F.col(s) if s else F.lit(None).cast("string")).alias("s"), (F.col(v) if v else F.lit(None)).cast("long").alias("v")) for k, (s, v) in enumerate(VALUES)))
+    seen = rows.select(F.explode(each).alias("x"), "n").groupBy("x.dim", "x.s", "x.v").agg(F.sum("n").alias("n"))
+    order = ["dim", F.col("s").asc_nulls_first(), F.col("v").asc_nulls_first()]
+    dealt = stage_table(seen.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "shard-values")
+    upto = (Window.unboundedPreceding, -1)
+    # One row for each range.
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("part_at"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(*upto)), F.lit(0))
+    bins = dealt.withColumn("inside", inside).join(parts, "part").withColumn("bin", F.expr(f"int(({1 << BITS} * (part_at + inside - dim * {total})) div {max(total, 1)})"))
+    cuts = bins.groupBy("dim", "bin").agg(F.min(F.struct("s", "v")).alias("at")).where("bin > 0").collect()
+    return [sorted((r["bin"], r["at"]["s"] if s else r["at"]["v"]) for r in cuts if r["dim"] == k) for k, (s, _) in enumerate(VALUES)]
+
+
+def _cell(cuts: list[list[tuple[int, object]]]) -> Column:
+    cell = F.lit(0)
+    for (s, v), own in zip(VALUES, cuts, strict=True):
+        place = F.lit(0)
+        for b, at in own:
+            place = F.when(F.col(s or v) >= F.lit(at), b).otherwise(place)
+        cell = cell * (1 << BITS) + place
+    return cell.cast("int")
 
-def _size_code(c: Column) -> Column:
-    """Bit length and the two bits below the highest: about 4 codes for each doubling."""
-    bits = F.length(F.bin(c))
-    return (bits * 4 + F.conv(F.rpad(F.substring(F.bin(c), 2, 2), 2, "0"), 2, 10).cast("int")).cast("long")
+
+def _placed(rows: DataFrame, cuts: list[list[tuple[int, object]]]) -> DataFrame:
+    curve = rows.sparkSession.createDataFrame(hilbert_table(), "cell int, hilbert int")  # 2^(DIMS * BITS) rows, always
+    return rows.withColumn("cell", _cell(cuts)).join(F.broadcast(curve), "cell").drop("cell")
+
+
+def _counted(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Different rows (doc_id, source, lang, size, text_crc32, mix, n), and the number of all rows."""
+    rows = docs.select("doc_id", *(c.alias(n) for n, c in _row_columns().items())).groupBy("doc_id", "source", "lang", "size", "text_crc32").agg(F.count("*").alias("n"))
+    rows = stage_table(rows.withColumn("mix", _mix()), "shard-rows")
+    return rows, rows.agg(F.sum("n")).first()[0] or 0
 
 
 def hilbert_order(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, source, lang, size, text_crc32, hilbert, rank, shard, slot) of every row of docs.
 
     docs needs doc_id, text, lang and source; other columns are ignored. size is the text's
-    UTF-8 bytes plus 8 (null: 8; its crc32 is 0). Nulls of source and language come first, as
+    UTF-8 bytes plus 8 (null: 8; its crc32 is 0), however long it is. Nulls of source and language come first, as
     does a null id. Equal rows share one defined order up to their exchange. Shards' counts differ by one at most;
     an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    narrow = docs.select(
-        "doc_id",
-        "source",
-        "lang",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long").alias("mix"),
-    )
-    narrow = stage_table(narrow, "shard-rows")
-    ends = narrow.agg(*(f(c).alias(n + c) for c in ("source", "lang", "doc_id") for f, n in ((F.min, "low_"), (F.max, "high_"))), F.count("*").alias("total")).first()
-    total = ends["total"]
-    lit = lambda n: F.lit(ends[n])
-    span = (ends["high_doc_id"] or 0) - (ends["low_doc_id"] or 0) + 1
-    id_code = F.floor((F.col("doc_id") - F.lit(ends["low_doc_id"] or 0)).cast("decimal(20,0)") * 250 / F.lit(span).cast("decimal(20,0)")).cast("long") + 1
-    codes = {
-        "source": _text_code(F.col("source"), lit("low_source"), lit("high_source")) if ends["low_source"] is not None else F.lit(0).cast("long"),
-        "lang": _text_code(F.col("lang"), lit("low_lang"), lit("high_lang")) if ends["low_lang"] is not None else F.lit(0).cast("long"),
-        "size": _size_code(F.col("size")),
-        "doc_id": F.coalesce(id_code, F.lit(0).cast("long")),
-    }
-    # Equal-depth bins of each dimension: few codes, so few rows, and at most 2^BITS cuts each.
-    each = narrow.select(F.explode(F.array(*(F.struct(F.lit(k).alias("dim"), c.alias("code")) for k, c in enumerate(codes.values())))).alias("x")).select("x.*")
-    seen = each.groupBy("dim", "code").agg(F.count("*").alias("n"))
-    under = F.coalesce(F.sum("n").over(Window.partitionBy("dim").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = seen.select("dim", "code", F.floor(under * (1 << BITS) / max(total, 1)).cast("int").alias("bin"))
-    cuts = bins.groupBy("dim", "bin").agg(F.min("code").alias("code")).collect()
-    cell = F.lit(0)
-    for k, code in enumerate(codes.values()):
-        own = sorted((r["code"], r["bin"]) for r in cuts if r["dim"] == k and r["bin"])
-        place = F.lit(0)
-        for at, b in own:
-            place = F.when(code >= at, b).otherwise(place)
-        cell = cell * (1 << BITS) + place
-    curve = spark.createDataFrame(hilbert_table(), "cell int, hilbert int")  # 4096 rows, always
-    placed = narrow.withColumn("cell", cell.cast("int")).join(F.broadcast(curve), "cell").drop("cell")
+    rows, total = _counted(docs)
+    placed = stage_table(_placed(rows, equal_depth_cuts(rows, total)), "shard-places")
     return cut_runs(placed, total, shards)
 
 
-def cut_runs(placed: DataFrame, total: int, shards: int) -> DataFrame:
-    """Exact ranks in the order (hilbert, mix, doc_id, text_crc32, size), then equal runs."""
+def _ranked(placed: DataFrame, total: int) -> DataFrame:
+    """placed with rank, the number of rows before each row's first copy in the order (hilbert, mix, doc_id, text_crc32, size, source, lang), and per_piece."""
     per_piece = max(LEAST, -(-total // PIECES))
+    upto = (Window.unboundedPreceding, -1)
     # One row for each cell of the curve: a bounded window and a bounded broadcast.
-    cells = placed.groupBy("hilbert").agg(F.count("*").alias("n"))
-    offset = F.coalesce(F.sum("n").over(Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = placed.groupBy("hilbert").agg(F.sum("n").alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.orderBy("hilbert").rowsBetween(*upto)), F.lit(0))
     cells = cells.select("hilbert", offset.alias("cell_at"), F.ceil(F.col("n") / per_piece).cast("long").alias("pieces"))
     placed = placed.join(F.broadcast(cells), "hilbert").withColumn("piece", F.expr("shiftright(mix * pieces, 32)"))
-    sizes = placed.groupBy("hilbert", "piece").agg(F.count("*").alias("n"))
-    piece_at = F.coalesce(F.sum("n").over(Window.partitionBy("hilbert").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("hilbert", "piece").agg(F.sum("n").alias("n"))
+    piece_at = F.coalesce(F.sum("n").over(Window.partitionBy("hilbert").orderBy("piece").rowsBetween(*upto)), F.lit(0))
     sizes = sizes.select("hilbert", "piece", piece_at.alias("piece_at"))
-    inside = F.row_number().over(Window.partitionBy("hilbert", "piece").orderBy("mix", "doc_id", "text_crc32", "size")) - 1
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("hilbert", "piece").orderBy("mix", "doc_id", "text_crc32", "size", "source", "lang").rowsBetween(*upto)), F.lit(0))
     ranked = placed.withColumn("inside", inside).join(sizes, ["hilbert", "piece"])
-    rank = F.col("cell_at") + F.col("piece_at") + F.col("inside")
-    return ranked.withColumn("rank", rank).select(
+    return ranked.withColumn("rank", F.col("cell_at") + F.col("piece_at") + F.col("inside")).withColumn("per_piece", F.lit(per_piece))
+
+
+def cut_runs(placed: DataFrame, total: int, shards: int) -> DataFrame:
+    """Exact ranks, then equal runs; many copies of a row are dealt out before they are told apart."""
+    some = _ranked(placed, total).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.col("per_piece").cast("long"))))
+    some = some.withColumn("copies", F.least(F.col("per_piece").cast("long"), F.col("n") - F.col("first"))).repartition("hilbert", "piece", "first")
+    each = some.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("rank", F.col("rank") + F.col("first") + F.col("copy"))
+    return each.select(
         "doc_id", "source", "lang", "size", "text_crc32", "hilbert", "rank",
         F.expr(f"rank * {shards} div {max(total, 1)}").cast("int").alias("shard"),
         F.expr(f"rank - (((rank * {shards} div {max(total, 1)}) * {total} + {shards - 1}) div {shards})").cast("long").alias("slot"),
     )
 
 
+KEY = ("hilbert", "mix", "doc_id", "text_crc32", "size", "source", "lang")
+DIMENSIONS = ("source", "lang", "size", "doc_id")
+
+
+def write_shards(docs: DataFrame, out: str, shards: int = SHARDS, files: int = 1) -> None:
+    """Write docs, all columns, as Parquet below the folder out, by shard, and each file's least and greatest values of the dimensions.
+
+    Rows that are equal in all that orders them stay in one shard, so that counts may differ by those
+    rows; a shard is cut into files further runs of the curve. The folder ranges has a row for each run.
+    """
+    rows, total = _counted(docs)
+    cuts = equal_depth_cuts(rows, total)
+    placed = stage_table(_placed(rows, cuts), "shard-places")
+    runs = shards * files
+    run = F.expr(f"rank * {runs} div {max(total, 1)}")
+    # One row for each run.
+    firsts = _ranked(placed, total).groupBy(run.alias("run")).agg(F.min(F.struct(*KEY)).alias("at")).orderBy("run").collect()
+    names = dict(zip(("source", "lang", "size", "text_crc32", "mix", "hilbert", "run"), fresh(docs.columns, "source_", "lang_", "size_", "text_crc32_", "mix_", "hilbert_", "run_"), strict=True))
+    keys = docs.select("doc_id", *(c.alias(n) for n, c in _row_columns().items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    keys = _placed(keys.withColumn("mix", _mix()), cuts)
+    of = F.lit(firsts[0]["run"] if firsts else 0)
+    kinds = {f.name: f.dataType for f in placed.schema.fields}
+    for r in firsts[1:]:
+        at = F.struct(*(F.lit(r["at"][k]).cast(kinds[k]).alias(k) for k in KEY))
+        of = F.when(F.struct(*KEY) >= at, F.lit(r["run"])).otherwise(of)
+    keys = keys.withColumn("run", of.cast("long")).withColumn("shard", F.expr(f"run div {files}"))
+    made = keys.select("row.*", F.col("shard").alias("hilbert_shard"), F.col("run").alias("hilbert_run"), F.col("hilbert").alias(names["hilbert"]))
+    made = made.repartition("hilbert_run").sortWithinPartitions("hilbert_run", names["hilbert"]).drop(names["hilbert"])
+    made.write.partitionBy("hilbert_shard", "hilbert_run").parquet(f"{out}/rows")
+    spans = keys.groupBy("shard", "run").agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in DIMENSIONS for k, f in (("least", F.min), ("most", F.max))), *(F.max(F.col(c).isNull()).alias(f"null_{c}") for c in DIMENSIONS))
+    spans.coalesce(1).write.parquet(f"{out}/ranges")
+
+
+def read_shards(spark: SparkSession, out: str, **wanted: tuple) -> DataFrame:
+    """The rows of write_shards() whose dimensions lie in wanted, e.g. size=(100, 200); runs that can't hold any are not read.
+
+    Bounds are inclusive, None leaves an end open; rows that are null in a wanted dimension are left out. size is that of the text.
+    """
+    ranges, rows = spark.read.parquet(f"{out}/ranges"), spark.read.parquet(f"{out}/rows")
+    some, row = F.lit(True), F.lit(True)
+    for name, (low, high) in wanted.items():
+        value = _row_columns()["size"] if name == "size" else F.col(name)
+        row &= value.isNotNull()
+        for end, test, kept in ((low, value.__ge__, "most"), (high, value.__le__, "least")):
+            if end is not None:
+                row &= test(F.lit(end))
+                some &= F.col(f"{kept}_{name}") >= F.lit(end) if kept == "most" else F.col(f"{kept}_{name}") <= F.lit(end)
+    runs = [r["run"] for r in ranges.where(some).select("run").collect()]
+    return rows.where(F.col("hilbert_run").isin(runs)).where(row).drop("hilbert_shard", "hilbert_run")
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hilbert_order() of all documents in SHARDS shards."""
     return hilbert_order(spread(table(spark, sf_dir, "documents"))).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
@@ -153,32 +228,22 @@ WITH crc AS (
   SELECT list(list_reduce(list_prepend(i, generate_series(1, 8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
   FROM range(256) x(i)
 ), d AS (
-  SELECT doc_id, source, lang, octet_length(encode(coalesce(text, ''))) + 8 AS size,
-    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS raw,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS mix
+  SELECT doc_id, source, lang, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS raw
   FROM documents
 ), e AS (
-  SELECT d.* EXCLUDE (raw), xor(list_reduce(list_prepend(4294967295, raw), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc
-), m AS (
-  SELECT min(source) AS s0, max(source) AS s1, min(lang) AS l0, max(lang) AS l1, min(doc_id) AS i0, max(doc_id) AS i1, count(*) AS total FROM e
-), q AS (
-  SELECT *, least(len(list_filter(generate_series(1, 64), lambda n: left(s0, n) = left(s1, n))), length(s0)) AS sp, least(len(list_filter(generate_series(1, 64), lambda n: left(l0, n) = left(l1, n))), length(l0)) AS lp FROM m
+  SELECT d.* EXCLUDE (raw), CAST(xor(list_reduce(list_prepend(4294967295, raw), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM d, crc
 ), f AS (
-  SELECT e.*, q.total,
-    CASE WHEN source IS NULL THEN 0 ELSE CAST('0x' || rpad(left(hex(encode(substr(source, sp + 1))), 4), 4, '0') AS BIGINT) + 1 END AS c0,
-    CASE WHEN lang IS NULL THEN 0 ELSE CAST('0x' || rpad(left(hex(encode(substr(lang, lp + 1))), 4), 4, '0') AS BIGINT) + 1 END AS c1,
-    length(bin(size)) * 4 + CAST(substr(rpad(substr(bin(size), 2, 2), 2, '0'), 1, 1) AS BIGINT) * 2 + CAST(substr(rpad(substr(bin(size), 2, 2), 2, '0'), 2, 1) AS BIGINT) AS c2,
-    CASE WHEN doc_id IS NULL THEN 0 ELSE (doc_id - i0) * 250 // (i1 - i0 + 1) + 1 END AS c3
-  FROM e, q
+  SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32), 1, 8) AS BIGINT) AS mix, count(*) OVER () AS total FROM e
 ), g AS (
-  SELECT *, (rank() OVER (ORDER BY c0) - 1) * {1 << BITS} // total AS b0, (rank() OVER (ORDER BY c1) - 1) * {1 << BITS} // total AS b1,
-    (rank() OVER (ORDER BY c2) - 1) * {1 << BITS} // total AS b2, (rank() OVER (ORDER BY c3) - 1) * {1 << BITS} // total AS b3 FROM f
+  SELECT *, (rank() OVER (ORDER BY source NULLS FIRST) - 1) * {1 << BITS} // total AS b0, (rank() OVER (ORDER BY lang NULLS FIRST) - 1) * {1 << BITS} // total AS b1,
+    (rank() OVER (ORDER BY size) - 1) * {1 << BITS} // total AS b2, (rank() OVER (ORDER BY doc_id NULLS FIRST) - 1) * {1 << BITS} // total AS b3 FROM f
 ), h AS (
   SELECT *, [{_LOOKUP}][((b0 * {1 << BITS} + b1) * {1 << BITS} + b2) * {1 << BITS} + b3 + 1] AS hilbert FROM g
 ), r AS (
   SELECT *, row_number() OVER (ORDER BY hilbert, mix, doc_id NULLS FIRST, text_crc32, size) - 1 AS place FROM h
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * {SHARDS} // total AS INTEGER) AS shard,
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {SHARDS} // total AS INTEGER) AS shard,
   CAST(place - ((place * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(hilbert AS INTEGER) AS hilbert
 FROM r
 """
