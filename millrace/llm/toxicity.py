@@ -29,7 +29,7 @@ from millrace.llm.common import fresh, held_out, labelled_fold, ranges, spread,
 
 SAMPLE, K = 6000, 16
 #: Examples of a block, and texts that are searched at once.
-BLOCK, BATCH = 32, 256
+BLOCK, BATCH = 32, 512
 #: Words in this share of the examples or more have a weight (often 0) for every example; others have postings.
 DENSE = 1 / 32
 #: Blocks that a search visits at first and the factor by which that grows.
@@ -45,7 +45,10 @@ THRESHOLD = 0.7
 
 def term_counts(text: str | None, terms: dict[bytes, int]) -> np.ndarray:
     """(term, count) of a text by term, an integer array of two columns."""
-    return np.array(sorted(Counter(terms[w] for w in words_of(text) if w in terms).items()), np.int32).reshape(-1, 2)
+    seen = Counter(map(terms.get, words_of(text)))
+    seen.pop(None, None)
+    found = np.array([*seen.items()], np.int32).reshape(-1, 2)
+    return found[np.argsort(found[:, 0])]
 
 
 def similar_order(rows: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -128,10 +131,10 @@ class BlockMaxIndex:
         return out
 
     def _search(self, some: list[tuple[np.ndarray, np.ndarray]], k: int, leave) -> list[tuple[np.ndarray, np.ndarray]]:
-        blocks, room = len(self.dense), len(self.dense) * BLOCK
+        blocks = len(self.dense)
         query = np.zeros((len(some), len(self.most)), np.float32)
         # Cosines of the words with postings, in full; what stands at a block's unused places is never found.
-        rest = np.full((len(some), room), -np.inf, np.float32)
+        rest = np.full((len(some), blocks * BLOCK), -np.inf, np.float32)
         for q, (terms, weights) in enumerate(some):
             row = self.row[terms]
             query[q, row[row >= 0]] = weights[row >= 0]
@@ -144,7 +147,8 @@ class BlockMaxIndex:
         bound = query @ self.most + rest.max(axis=2, initial=-np.inf)
         found = np.full(rest.shape, -np.inf, np.float32)
         by_bound = np.argsort(-bound, axis=1, kind="stable")
-        least, low, high = np.full(len(some), -np.inf, np.float32), 0, FIRST
+        best = np.full((len(some), k), -np.inf, np.float32)
+        least, low, high = best[:, 0], 0, FIRST
         while low < blocks:
             turn = by_bound[:, low:high]
             go = np.zeros(bound.shape, bool)
@@ -153,9 +157,9 @@ class BlockMaxIndex:
                 q = np.nonzero(go[:, b])[0]
                 found[q, b] = rest[q, b] + query[q] @ self.dense[b]
             self.visited += int(go.sum())
-            if room >= k:
-                least = np.partition(found.reshape(len(some), room), -k, axis=1)[:, -k]
-            low, high = high, high * GROWTH
+            seen = np.take_along_axis(found, turn[:, :, None], axis=1).reshape(len(some), -1)
+            best = np.partition(np.hstack([best, seen]), -k, axis=1)[:, -k:]
+            least, low, high = best[:, 0], high, high * GROWTH
         self.blocks += bound.size
         return [self._exact(own, f.ravel(), t, k) for own, f, t in zip(some, found, least, strict=True)]
 
@@ -203,9 +207,11 @@ def _count_frequencies(shared):
         terms, rows = _terms_of(shared.value), 0
         seen = np.zeros(len(terms), np.int64)
         for batch in batches:
+            found: list[int] = []
             for text in batch.column(0).to_pylist():
-                seen[[terms[w] for w in terms.keys() & set(words_of(text))]] += 1
-                rows += 1
+                found += [terms[w] for w in terms.keys() & set(words_of(text))]
+            seen += np.bincount(np.array(found, np.int64), minlength=len(terms))
+            rows += len(batch)
         at = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_pydict({"term": pa.array([-1, *at], pa.int64()), "n": pa.array([rows, *seen[at]], pa.int64())})
 
@@ -284,10 +290,10 @@ def term_table(sample: DataFrame) -> pa.Table:
     return counts.select("word", chi.alias("chi")).toArrow().sort_by("word")
 
 
-def build_model(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_size: int = SAMPLE) -> dict:
+def build_model(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_size: int | None = None) -> dict:
     """Words, example vectors and calibration, as the workers get them; without labels of both kinds there are no examples."""
     sc = docs.sparkSession.sparkContext
-    sample = stage_table(labelled_sample(docs, labels, column, sample_size), "toxicity-sample")
+    sample = stage_table(labelled_sample(docs, labels, column, sample_size or SAMPLE), "toxicity-sample")
     found = term_table(sample)
     if not len(found):
         mean = sample.agg(F.avg("label")).first()[0]

@@ -1,13 +1,16 @@
 """Toxicity and quality: exact search, calibration and held-out accuracy."""
 
+import hashlib
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import isotonic, quality, toxicity
+from millrace.llm.common import words_of
 
 SF = "/root/testdata/sf0.01"
 has_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -16,7 +19,7 @@ has_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_search_is_exact():
     rng = np.random.default_rng(2)
     vectors = [tuple(sorted((int(t), int(rng.integers(1, 5))) for t in rng.choice(30, rng.integers(0, 7), replace=False))) for _ in range(700)]
-    index = toxicity.BlockMaxIndex(list(range(700)), [k % 2 for k in range(700)], vectors, 1 + rng.random(30))
+    index = toxicity.BlockMaxIndex(list(range(700)), [k % 2 for k in range(700)], [np.array(v, np.int32).reshape(-1, 2) for v in vectors], 1 + rng.random(30))
     dense = np.zeros((700, 30))
     for k, v in enumerate(vectors):
         t, w = index.weights(v)
@@ -29,6 +32,87 @@ def test_search_is_exact():
         assert at.tolist() == order and np.allclose(found, cosine[order])
 
 
+def test_blocks_are_skipped():
+    # Ten topics with words of their own: most blocks can't hold a near example.
+    rng = np.random.default_rng(4)
+    topic = [np.array(sorted((int(t), 1) for t in rng.choice(np.arange(40 * g, 40 * g + 40), 25, replace=False)), np.int32) for g in range(10) for _ in range(100)]
+    index = toxicity.BlockMaxIndex(list(range(1000)), [0] * 1000, topic, np.ones(400))
+    found = index.search_all(topic[::7])
+    assert all(set(at // 100) == {7 * k // 100} for k, (at, _) in enumerate(found))
+    assert 0 < index.visited < index.blocks / 4
+
+
+def brute_scores(docs, labels):
+    """doc_id -> (score, three nearest) from the definitions, by comparing with every example."""
+    split = lambda t: words_of(t)
+    known = {}
+    for d, y in labels:
+        if d is not None and y is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            known[d] = max(y, known.get(d, 0))
+    chosen = set(sorted(known, key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d))[: toxicity.SAMPLE])
+    examples = {}
+    for d, t in docs:
+        if d in chosen:
+            examples[t or ""] = min(examples.get(t or "", (d, known[d])), (d, known[d]))
+    rows = sorted((d, y, t) for t, (d, y) in examples.items())
+    n, p = len(rows), sum(y for _, y, _ in rows)
+    weight = {}
+    for w in {w for _, _, t in rows for w in split(t)}:
+        own = [y for _, y, t in rows if w in split(t)]
+        chi = n * (sum(own) * n - len(own) * p) ** 2 / max(len(own) * p * (n - len(own)) * (n - p), 1)
+        seen = sum(w in split(t) for _, t in docs)
+        weight[w] = (1 + np.log((1 + len(docs)) / (1 + seen))) * np.sqrt(max(chi, toxicity.FLOOR))
+
+    def vector(t):
+        v = {w: (1 + np.log(c)) * weight[w] for w, c in Counter(split(t)).items() if w in weight}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [vector(t) for _, _, t in rows]
+
+    def nearest(v, leave=None):
+        c = [(-round(sum(x * e.get(w, 0) for w, x in v.items()), 12), k) for k, e in enumerate(vectors) if k != leave]
+        return [(k, -x) for x, k in sorted(c) if x < 0][: toxicity.K]
+
+    vote = lambda f: sum(c * rows[k][1] for k, c in f) / sum(c for _, c in f)
+    own = [nearest(v, k) for k, v in enumerate(vectors)]
+    some = [k for k, f in enumerate(own) if f]
+    knots = isotonic.fit(np.array([vote(own[k]) for k in some]), np.array([float(rows[k][1]) for k in some]), np.ones(len(some)))
+    lone = [rows[k][1] for k, f in enumerate(own) if not f]
+    default = (sum(lone) + p / n) / (len(lone) + 1)
+    out = {}
+    for d, t in docs:
+        f = nearest(vector(t))
+        out[d] = (float(isotonic.apply(knots, np.array([vote(f)]))[0]) if f else default, [rows[k][0] for k, _ in f[:3]])
+    return out
+
+
+def test_scores_are_those_of_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 150)
+    rng = np.random.default_rng(9)
+    word = lambda bad: f"{'vile' if bad else 'calm'}{int(rng.integers(12))}" if rng.random() < 0.25 else f"w{int(rng.integers(60) ** 2 / 60)}"
+    docs = [(k, " ".join(word(k % 4 == 0) for _ in range(int(rng.integers(0, 30))))) for k in range(400)] + [(1000, None), (1001, "unseen only"), (1002, "W1, w1! w2")]
+    docs += [(1003, docs[8][1]), (8, "calm1 w1")]
+    labels = [(k, int(k % 4 == 0)) for k in range(300)] + [(5, 1), (None, 1), (7, None)]
+    want = brute_scores(docs, labels)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.build_model(spark.createDataFrame(docs, "doc_id long, text string"), table, sample_size=150)
+    assert len(model["ids"]) <= 150
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    for r in got:
+        if r["doc_id"] != 8:  # two texts
+            score, near = want[r["doc_id"]]
+            assert abs(r["score"] - score) < 1e-9
+            assert [int(x.split(":")[0]) for x in r["evidence"].split(",") if x] == near
+
+
+def test_names_do_not_clash(spark, odd):
+    table = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, toxic int")
+    named = odd.selectExpr("*", "'mine' AS __score", "'mine' AS `_SCORE`", "1 AS evidence")
+    out = toxicity.drop_toxic(named, table)
+    assert out.columns == named.columns and {r["__score"] for r in out.collect()} <= {"mine"}
+
+
 def test_isotonic():
     x, y = isotonic.fit(np.array([3.0, 1, 2, 4, 3]), np.array([1.0, 1, 0, 1, 1]), np.ones(5), prior=0)
     # 1 and 2 are out of order and pool at 1.5; 3, 3 and 4 agree and pool at 10 / 3; between pools it is a line.
