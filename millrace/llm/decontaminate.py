@@ -4,8 +4,9 @@ Windows of the normalised test items form one Aho-Corasick automaton; each docum
 normalised, scanned once, and its matches are mapped back to words and to offsets of the
 original text. Nothing is shuffled: the documents pass through one map.
 
-An automaton takes WINDOWS_PER_PASS windows, which bounds what is broadcast and what a worker
-holds; a larger benchmark takes further passes over the rows, each adding its matches.
+The automaton takes WINDOWS_PER_PASS windows, which bounds what is broadcast and what a worker
+holds; a larger benchmark takes further passes, each with an automaton of its own. Rows are written
+between passes, so that no two automata are held at a time.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_TABLE, spread, table, words_of
+from millrace.llm.common import WORD_TABLE, spread, stage_table, table, words_of
 
 WINDOW = 10
 WINDOWS_PER_PASS = 40_000
@@ -53,8 +54,7 @@ def _automaton(shared):
     if shared.value["key"] not in _AUTOMATA:
         import ahocorasick
 
-        if len(_AUTOMATA) >= 4:  # of earlier queries
-            _AUTOMATA.clear()
+        _AUTOMATA.clear()  # of an earlier pass or query
         made = ahocorasick.Automaton()
         for window, (n, ids) in shared.value["windows"].items():
             made.add_word(f" {window.decode('latin-1')} ", (n, ids))
@@ -98,75 +98,83 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> str:
     return ",".join(f"{points[at[a][0]]}:{points[at[b - 1][1]]}" for a, b in runs)
 
 
+#: Words, runs of hit words (start, end, start, ...) and items that earlier passes have found.
+FOUND = [("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("found", pa.list_(pa.string()))]
+SCANNED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *FOUND])
+SCANNED_SQL = "doc_id long, text string, n_words long, runs array<long>, found array<string>"
+
+
 def _scan(shared, first: bool):
-    def run(frames):
+    def run(batches):
         automaton = _automaton(shared)
-        for pdf in frames:
-            found = [find(automaton, t) for t in pdf["text"]]
-            runs = [",".join(f"{a}:{b}" for a, b in r) for _, r, _ in found]
-            items = [",".join(i) for _, _, i in found]
+        for batch in batches:
+            found = [find(automaton, t.as_py()) for t in batch.column(1)]
+            runs, items = [[x for r in f[1] for x in r] for f in found], [f[2] for f in found]
             if not first:
-                runs = [",".join(filter(None, x)) for x in zip(pdf["__runs"], runs, strict=True)]
-                items = [",".join(filter(None, x)) for x in zip(pdf["__items"], items, strict=True)]
-            yield pdf.assign(__words=[n for n, _, _ in found], __runs=runs, __items=items)
+                runs = [a + b for a, b in zip(batch.column(3).to_pylist(), runs, strict=True)]
+                items = [b.union(a) for a, b in zip(batch.column(4).to_pylist(), items, strict=True)]
+            made = zip(([f[0] for f in found], runs, [sorted(i) for i in items]), FOUND, strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, (_, k) in made)], schema=SCANNED)
 
     return run
 
 
-def _digest(frames):
-    for pdf in frames:
+RESULT = pa.schema(
+    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.string())]
+)
+RESULT_SQL = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans string"
+
+
+def _digest(batches):
+    for batch in batches:
         out = []
-        for text, runs in zip(pdf["text"], pdf["__runs"], strict=True):
-            got = merged([tuple(map(int, r.split(":"))) for r in runs.split(",")]) if runs else []
-            out.append((sum(b - a for a, b in got), original_spans(text, got) if got else ""))
-        ids = [sorted(set(filter(None, x.split(",")))) for x in pdf["__items"]]
-        yield pdf.drop(columns=["text", "__runs", "__items", "__words"]).assign(
-            n_words=pdf["__words"],
-            n_hit=[n for n, _ in out],
-            n_items=[len(i) for i in ids],
-            items=[",".join(i) for i in ids],
-            items_sha256=[hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids],
-            contaminated=[n > 0 for n, _ in out],
-            spans=[s for _, s in out],
-        )
+        for text, runs, items in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            got = merged([*zip(runs[::2], runs[1::2], strict=True)])
+            hit = sum(b - a for a, b in got)
+            out.append((hit, len(items), items, hashlib.sha256(",".join(items).encode("utf-8", "surrogatepass")).hexdigest(), hit > 0, original_spans(text.as_py(), got) if got else ""))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k] for r in out], f.type) for k, f in enumerate([*RESULT][2:]))], schema=RESULT)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = WINDOWS_PER_PASS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, spans) for each row of docs.
 
-    docs needs doc_id and text, items item_id and text; other columns are ignored. A null or
-    empty text has no words; items without id or without words match nothing; repeated rows
-    of docs give repeated results, repeated items count once.
+    docs needs doc_id and text, items item_id and text; other columns are ignored. items are the ids as sorted strings, spans
+    the merged runs of hit words as start:end in code points. A null or empty text has no words; a very long one is scanned
+    whole, and a task holds one batch of texts; items without id or without words match nothing; repeated rows
+    of docs give repeated results, repeated items count once; an empty table gives no rows, and without items no row is contaminated.
     """
-    sc, out, first = docs.sparkSession.sparkContext, docs.select(F.col("doc_id").cast("string"), "text"), True  # pandas has no nullable long
+    sc, out, first = docs.sparkSession.sparkContext, docs.select(F.col("doc_id").cast("long"), "text"), True
     for windows in window_passes(items, size, limit):
         if first or windows:
+            out = out if first else stage_table(out, "scanned")
             shared = sc.broadcast({"key": uuid.uuid4().hex, "windows": windows})
-            out = out.select(*["doc_id", "text"], *([] if first else ["__runs", "__items"])).mapInPandas(_scan(shared, first), "doc_id string, text string, __runs string, __items string, __words long")
+            out = out.mapInArrow(_scan(shared, first), SCANNED_SQL)
             first = False
-    out = out.mapInPandas(_digest, "doc_id string, n_words long, n_hit long, n_items long, items string, items_sha256 string, contaminated boolean, spans string")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.mapInArrow(_digest, RESULT_SQL)
 
 
 def _clean(shared):
     def run(batches):
         automaton = _automaton(shared)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([not find(automaton, t)[1] for t in texts], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([not find(automaton, t.as_py())[1] for t in texts], pa.bool_()))
 
     return run
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = WINDOWS_PER_PASS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of an item."""
-    for windows in window_passes(items, size, limit):
-        shared = docs.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": windows})
-        docs = docs.mapInArrow(_clean(shared), docs.schema)
+    for k, windows in enumerate(window_passes(items, size, limit)):
+        if not k or windows:
+            docs = stage_table(docs, "clean") if k else docs
+            shared = docs.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": windows})
+            docs = docs.mapInArrow(_clean(shared), docs.schema)
     return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decontaminate() of all documents against the whole benchmark, without texts' spans."""
     docs, items = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     return decontaminate(docs, items).drop("items", "spans")
 
