@@ -1,14 +1,15 @@
 """Approximate nearest neighbours with learned partitions.
 
 A bounded sample gives an exact neighbour graph, which recursive bisection (spectral order,
-cut at the median, improved by swaps) cuts into PARTS equal parts with few edges between them.
-A small network learns, from the vectors alone, where a vector's neighbours lie. Every row goes to
-its most probable part; a query visits its most probable parts, as many as the sample needs for
-TARGET recall (neighbours in the sample are farther than in all rows, so this errs upward), and
+cut at the median, improved by swaps) cuts into equal parts with few edges between them, the more
+the more rows there are. A small network learns, from the vectors alone, where a vector's
+neighbours lie. Every row goes to its most probable part; a query visits its most probable parts
+until their probabilities add up to what held-out rows of the sample need for TARGET recall, and
 candidates are reranked by exact distance in double precision.
 
 Parts are cut into cells of bounded size by a hash of the id, so that a crowded part, or one
-vector repeated many times, is spread over tasks.
+vector repeated many times, is spread over tasks. A vector moves once, to its cell; a query moves
+to the cells of the parts that it visits, where queries stream past the cell's vectors.
 """
 
 from __future__ import annotations
@@ -21,19 +22,26 @@ from pyspark.sql.window import Window
 
 from millrace.llm.common import stage_table, table
 
-SAMPLE, GRAPH_K, LEVELS, TARGET = 4096, 10, 4, 0.95
-PARTS = 1 << LEVELS
+SAMPLE, GRAPH_K, TARGET = 4096, 10, 0.93
+#: Rows of a part, until there are 2^MOST_LEVELS parts, and vectors of the sample in each.
+PART_ROWS, MOST_LEVELS, PART_SAMPLE = 100, 9, 8
 HIDDEN, EPOCHS, SEED = 96, 60, 11
-CELLS, LEAST_CELL, QUERY_CHUNK = 4096, 256, 16384
+#: Rows of a cell, at least and at most; in between, twice those of an average part.
+LEAST_CELL, MOST_CELL = 1024, 65_536
 
 
-def usable(rows: DataFrame) -> DataFrame:
-    """vec_id and vector of the rows that take part, with the number of components that most rows have."""
+def usable(rows: DataFrame) -> tuple[DataFrame, int]:
+    """vec_id and vector of the rows that take part, with the number of components that most rows have, and their number."""
     good = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
     sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return good.where(F.size("v") == (sizes["d"] if sizes else 0))
+    return good.where(F.size("v") == (sizes["d"] if sizes else 0)), sizes["n"] if sizes else 0
+
+
+def levels_for(rows: int, sample: int) -> int:
+    """Cuts that leave parts of about PART_ROWS rows, as far as the sample goes."""
+    return max(0, min(MOST_LEVELS, int(np.log2(max(1, rows // PART_ROWS))), int(np.log2(max(1, sample // PART_SAMPLE)))))
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
@@ -71,7 +79,7 @@ def _halves(a: np.ndarray, rng) -> np.ndarray:
     return side
 
 
-def balanced_parts(near: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+def balanced_parts(near: np.ndarray, levels: int) -> np.ndarray:
     n, rng = len(near), np.random.default_rng(SEED)
     a = np.zeros((n, n), np.float32)
     a[np.repeat(np.arange(n), near.shape[1]), near.ravel()] = 1
@@ -117,37 +125,52 @@ def probabilities(model: dict, x: np.ndarray) -> np.ndarray:
     return _softmax(np.maximum((x - model["mean"]) / model["scale"] @ w[0] + w[1], 0) @ w[2] + w[3])
 
 
-def learn(x: np.ndarray) -> dict:
-    """Router and number of parts to visit, from a sample of vectors."""
+def learn(x: np.ndarray, rows: int) -> dict:
+    """Router and the probability that a query's parts must hold, from a sample of vectors of so many rows."""
     x = np.unique(x, axis=0)
-    model = {"mean": x.mean(axis=0), "scale": x.std() + 1e-12}
-    if len(x) < 2 * PARTS:
-        return model | {"weights": [np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], "visit": 1}
+    levels = levels_for(rows, len(x))
+    parts = 1 << levels
+    model = {"mean": x.mean(axis=0), "scale": x.std() + 1e-12, "parts": parts, "mass": 1.0}
+    if not levels:
+        return model | {"weights": [np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)]}
     rng = np.random.default_rng(SEED)
     x = x[rng.permutation(len(x))]
     near = neighbour_graph(x)
-    part = balanced_parts(near)
-    goal = np.eye(PARTS)[part]
+    part = balanced_parts(near, levels)
+    goal = np.eye(parts)[part]
     goal = 0.3 * goal + 0.7 * goal[near].mean(axis=1)
     z = (x - model["mean"]) / model["scale"]
-    # The number of visits comes from rows that the router has not seen.
+    # What a query must visit comes from rows that the router has not seen.
     held = np.arange(len(x)) % 5 == 0
     model["weights"] = train_router(z[~held], goal[~held])
     p = probabilities(model, x)
-    home, order = p.argmax(axis=1), np.argsort(-p[held], axis=1)
+    order, before = _visits(p[held])
     place = np.argsort(order, axis=1)
-    need = np.take_along_axis(place, home[near[held]], axis=1)
-    reached = [(need <= t).mean() for t in range(PARTS)]
-    return model | {"visit": 1 + next(t for t, r in enumerate(reached) if r >= TARGET)}
+    need = np.take_along_axis(before, np.take_along_axis(place, p.argmax(axis=1)[near[held]], axis=1), axis=1)
+    return model | {"mass": float(np.quantile(need, TARGET, method="higher"))}
+
+
+def _visits(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts by falling probability, and the probability of all that come before each."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    own = np.take_along_axis(p, order, axis=1)
+    return order, np.cumsum(own, axis=1) - own
 
 
 def _route(shared):
+    """Adds each row's part, and the parts that it visits if it asks."""
+
     def run(batches):
+        model = shared.value
         for batch in batches:
             if len(batch):
-                p = probabilities(shared.value, _matrix(batch.column(1)))
-                order = np.argsort(-p, axis=1, kind="stable")[:, : shared.value["visit"]]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.tolist(), pa.list_(pa.int64()))], names=["vec_id", "v", "parts"])
+                p, asks = probabilities(model, _matrix(batch.column(1))), batch.column(2).to_numpy(zero_copy_only=False)
+                parts: list = [None] * len(batch)
+                at = np.flatnonzero(asks)
+                for k, order, before in zip(at.tolist(), *_visits(p[at]), strict=True):
+                    parts[k] = order[before <= model["mass"]]
+                made = [pa.array(p.argmax(axis=1), pa.int64()), pa.array(parts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["vec_id", "v", "asks", "part", "parts"])
 
     return run
 
@@ -156,25 +179,47 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _nearest(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found = []
-        if len(rows) and len(queries):
-            ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"].combine_chunks())
-            own, y = queries["vec_id"].to_numpy(), _matrix(queries["v"].combine_chunks())
-            square = (x * x).sum(axis=1)
-            for a in range(0, len(y), 256):
-                rough = square[None, :] - 2 * y[a : a + 256] @ x.T + (y[a : a + 256] ** 2).sum(axis=1)[:, None]
-                rough[own[a : a + 256, None] == ids[None, :]] = np.inf
-                # What rounding could bring among the k best is measured exactly.
-                limit = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-                for q, r, m in zip(range(a, a + 256), rough, limit, strict=False):
-                    at = np.nonzero((r <= m + 1e-9 * (1 + abs(m))) & np.isfinite(r))[0] if np.isfinite(m) else np.nonzero(np.isfinite(r))[0]
-                    d = np.sqrt(((x[at] - y[q]) ** 2).sum(axis=1))
-                    top = np.lexsort((ids[at], d))[:k]
-                    found.append((np.full(len(top), own[q]), ids[at][top], d[top]))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+FOUND = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def best(row: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, named: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest of the vectors x (their rows and ids) for each query vector y, by exact distance; not its own row."""
+    none, square = np.zeros(0, np.int64), (x * x).sum(axis=1)
+    found = [(none, none, none, np.zeros(0))]
+    for a in range(0, len(y), 64):
+        rough = square[None, :] - 2 * y[a : a + 64] @ x.T + (y[a : a + 64] ** 2).sum(axis=1)[:, None]
+        rough[own[a : a + 64, None] == row[None, :]] = np.inf
+        # What rounding could bring among the k best is measured exactly.
+        limit = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        for q, r, m in zip(range(a, a + 64), rough, limit, strict=False):
+            at = np.nonzero((r <= m + 1e-9 * (1 + abs(m))) & np.isfinite(r))[0] if np.isfinite(m) else np.nonzero(np.isfinite(r))[0]
+            d = np.sqrt(((x[at] - y[q]) ** 2).sum(axis=1))
+            top = np.lexsort((ids[at], d))[:k]
+            found.append((np.full(len(top), own[q]), np.full(len(top), named[q]), ids[at][top], d[top]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=FOUND)
+
+
+def _search(k: int):
+    """Consumes rows (part, cell, query, row, vec_id, v) sorted by the first three; holds one cell's vectors and one batch."""
+
+    def run(batches):
+        key, rows, cell = None, [], None
+        for batch in batches:
+            at = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            cuts = np.concatenate([[0], 1 + np.flatnonzero((at[1:] != at[:-1]).any(axis=1)), [len(at)]])
+            row, ids, v = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _matrix(batch.column(5))
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if low == high:
+                    continue
+                part, number, query = at[low].tolist()
+                if key != (part, number):
+                    key, rows, cell = (part, number), [], None
+                if not query:
+                    rows.append((row[low:high].copy(), ids[low:high].copy(), v[low:high].copy()))
+                    continue
+                cell = cell or ([np.concatenate(c) for c in zip(*rows, strict=True)] if rows else None)
+                if cell:
+                    yield best(*cell, row[low:high], ids[low:high], v[low:high], k)
 
     return run
 
@@ -184,34 +229,33 @@ def nearest(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     rows needs vec_id and embedding; other columns are ignored. is_query is a condition on vec_id. Vectors
     that are null, zero, of an unusual length or with null or non-finite components, and rows
-    without id, take no part. Equal distances go to the smaller vec_id. Repeated ids are kept apart as
-    candidates but are not their own neighbours. With fewer candidates all are returned; an
+    without id, take no part. Equal distances go to the smaller vec_id. Rows that share an id are kept apart: each
+    has a ranking of its own and may be the other's neighbour. With fewer candidates all are returned; an
     empty table gives no rows.
     """
     spark = rows.sparkSession
-    good = usable(rows)
+    good, total = usable(rows)
     # The sample is bounded by SAMPLE; it is all that the driver sees of the vectors.
     some = [r["v"] for r in good.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(SAMPLE).collect()]
     if not some:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(learn(np.array(some)))
-    routed = good.mapInArrow(_route(shared), "vec_id long, v array<double>, parts array<long>")
-    routed = stage_table(routed.withColumn("part", F.col("parts")[0]).withColumn("asks", F.coalesce(is_query, F.lit(False))), "routed")
-    counts = {r["part"]: (r["n"], r["q"]) for r in routed.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).collect()}
-    per_cell = max(LEAST_CELL, -(-sum(n for n, _ in counts.values()) // CELLS))
-    cells = F.create_map(*(F.lit(x) for p, (n, _) in counts.items() for x in (p, -(-n // per_cell))))
-    chunks = max(1, -(-sum(q for _, q in counts.values()) // QUERY_CHUNK))
-    mixed = F.xxhash64("vec_id")
-    members = routed.select("vec_id", "v", "part", F.pmod(mixed, cells[F.col("part")]).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    queries = routed.where("asks").select("vec_id", "v", F.explode("parts").alias("part"), F.pmod(mixed, F.lit(chunks)).cast("int").alias("chunk"))
-    queries = queries.where(cells[F.col("part")].isNotNull())
-    queries = queries.select("vec_id", "v", "part", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), (cells[F.col("part")] - 1).cast("long"))).alias("cell"))
-    keys = ["part", "cell", "chunk"]
-    members = members.withColumn("cell", F.col("cell").cast("long"))
-    found = members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    shared = spark.sparkContext.broadcast(learn(np.array(some), total))
+    asked = good.select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    routed = stage_table(asked.mapInArrow(_route(shared), "vec_id long, v array<double>, asks boolean, part long, parts array<long>").withColumn("row", F.monotonically_increasing_id()), "routed")
+    # One row for each part.
+    counts = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    per_cell = min(MOST_CELL, max(LEAST_CELL, 2 * -(-total // len(counts))))
+    cells = F.create_map(*(F.lit(x) for p, n in sorted(counts.items()) for x in (p, -(-n // per_cell))))
+    spot = F.pmod(F.xxhash64("vec_id"), cells[F.col("part")]).cast("long")
+    members = routed.select("part", spot.alias("cell"), F.lit(0).alias("query"), "row", "vec_id", "v")
+    queries = routed.where("asks").select(F.explode("parts").alias("part"), "row", "vec_id", "v").where(cells[F.col("part")].isNotNull())
+    queries = queries.select("part", F.explode(F.sequence(F.lit(0).cast("long"), (cells[F.col("part")] - 1).cast("long"))).alias("cell"), F.lit(1).alias("query"), "row", "vec_id", "v")
+    dealt = members.unionAll(queries).repartition("part", "cell").sortWithinPartitions("part", "cell", "query")
+    found = dealt.mapInArrow(_search(k), "row long, query_id long, vec_id long, score double")
+    order = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest() of every hundredth vector."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

@@ -49,10 +49,38 @@ def test_odd_vectors(spark):
     assert nb.nearest(frame(spark, []), F.lit(True)).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    vectors = [(100, [1, 0, 0]), (100, [0, 1, 0]), (2, [0.9, 0.1, 0]), (3, [0.1, 0.9, 0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 3)) for r in nb.nearest(frame(spark, vectors), F.col("vec_id") == 100, 2).collect())
+    assert got == sorted([(100, 1, 2, 0.141), (100, 1, 3, 0.141), (100, 2, 3, 1.273), (100, 2, 2, 1.273)])
+    got = nb.nearest(frame(spark, vectors[:2]), F.col("vec_id") == 100).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(100, 1, 100)] * 2
+
+
+def test_parts_grow_with_the_rows():
+    assert [nb.levels_for(n, 4096) for n in (10, 150, 1000, 51_200, 10**9)] == [0, 0, 3, 9, 9]
+    assert nb.levels_for(10**9, 500) == 5
+
+
 def test_parts_are_balanced_and_follow_the_graph():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(size=(64, 8)) + 9 * c for c in rng.normal(size=(16, 8))])
     near = nb.neighbour_graph(x)
-    part = nb.balanced_parts(near)
+    part = nb.balanced_parts(near, 4)
     assert np.bincount(part).tolist() == [64] * 16
     assert (part[near] == part[:, None]).mean() > 0.8
+
+
+def test_visits_are_few_where_vectors_cluster():
+    rng = np.random.default_rng(7)
+    centres = 6 * rng.normal(size=(64, 16))
+    x = centres[rng.integers(64, size=6000)] + rng.normal(size=(6000, 16))
+    model = nb.learn(x[:2000], 6000)
+    p = nb.probabilities(model, x)
+    order, before = nb._visits(p)
+    seen = before <= model["mass"]
+    home = p.argmax(axis=1)
+    near = nb.neighbour_graph(x)[::40]
+    place = np.argsort(order[::40], axis=1)
+    reached = np.take_along_axis(seen[::40], np.take_along_axis(place, home[near], axis=1), axis=1)
+    assert model["parts"] == 32 and reached.mean() >= 0.9 and seen.mean() < 0.3
