@@ -247,7 +247,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; other columns are ignored. Spans are kind:start:end in code points, by
     start and then kind; counts and base_spans are of the base, spans adds what the classifier
-    accepts outside all base spans, n_secret and n_spans count secrets and all spans. Null and empty texts have none; a very
+    accepts outside all base spans and no checksum or strict pattern speaks against, n_secret and n_spans count secrets and all spans. Null and empty texts have none; a very
     long text is searched whole, in time that is linear in it; repeated rows give repeated
     results; an empty table gives no rows.
     """
@@ -266,7 +266,7 @@ def find_personal(docs: DataFrame) -> DataFrame:
     reach = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(reach, F.lit(-1)) <= F.col("start")) & (F.coalesce(ahead, F.col("end")) >= F.col("end"))
-    each = each.withColumn("free", free).where(F.col("base") | (F.col("free") & (F.col("score") >= 0)))
+    each = each.withColumn("free", free).where(F.col("base") | (F.col("free") & (F.col("regex") >= 0) & (F.col("score") >= 0)))
     place = F.array_position(F.array(*map(F.lit, ALL)), F.col("kind"))
     span = F.struct("start", place.alias("place"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("span"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["span"]), ",")
