@@ -30,5 +30,10 @@ def true_only(condition: Column) -> Column:
 
 
 def epoch_seconds(timestamp: Column) -> Column:
-    """Seconds since 1970-01-01 UTC of an ISO-8601 text or timestamp."""
+    """Seconds since 1970-01-01 UTC of an ISO-8601 text or timestamp; one without a zone is of the session's."""
     return F.unix_timestamp(timestamp.cast("timestamp"))
+
+
+def utc_epoch_seconds(timestamp: Column) -> Column:
+    """The same for timestamps without a zone that are meant in UTC, whatever the session's zone."""
+    return F.unix_timestamp(F.from_utc_timestamp(timestamp.cast("timestamp"), F.current_timezone()))

@@ -19,13 +19,14 @@ class TableDef:
     primary_key: tuple[str, ...] = ()
     indexes: tuple[str, ...] = ()
     version: int = 0
+    previous: str | None = None
 
     def to_json(self) -> dict:
-        return {"name": self.name, "schema": self.schema.jsonValue(), "path": self.path, "primary_key": self.primary_key, "indexes": self.indexes, "version": self.version}
+        return {"name": self.name, "schema": self.schema.jsonValue(), "path": self.path, "primary_key": self.primary_key, "indexes": self.indexes, "version": self.version, "previous": self.previous}
 
     @classmethod
     def from_json(cls, x: dict) -> TableDef:
-        return cls(x["name"], StructType.fromJson(x["schema"]), x["path"], tuple(x["primary_key"]), tuple(x["indexes"]), x["version"])
+        return cls(x["name"], StructType.fromJson(x["schema"]), x["path"], tuple(x["primary_key"]), tuple(x["indexes"]), x["version"], x.get("previous"))
 
 
 @dataclass

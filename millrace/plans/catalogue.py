@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars
 from millrace.operators import relational as op
+from millrace.plans import stored_queries
 
 #: Texts for DuckDB alone: as SQL, Spark would compare all pairs.
 ORACLE_ONLY = {
     "join_range": "select o_orderkey, p_partkey from orders, part where o_totalprice >= p_retailprice*100 and o_totalprice < p_retailprice*100+50",
+    "epoch_seconds": "select event_id, cast(floor(epoch(ts)) as bigint) as s from events",
+    "join_asof": "select event_id, k, et, ot, o_orderkey from (select event_id, k, et, ot, o_orderkey, row_number() over (partition by event_id order by ot desc nulls last, o_orderkey desc) as rn from (select event_id, user_id as k, cast(floor(epoch(ts)) as bigint) as et from events) e left join (select o_custkey, cast(floor(epoch(o_orderdate)) as bigint) as ot, o_orderkey from orders) o on k=o_custkey and ot<=et) where rn=1",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -73,8 +76,47 @@ SQL = {
     "point_lookup": "select o_orderkey, o_totalprice from orders where o_orderkey=7",
     "range_lookup": "select o_orderkey, o_totalprice from orders where o_orderkey>100 and o_orderkey<=200",
     "select_constant": "select 1 as one, 'a' as letter",
+    "subquery_in": "select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey=1)",
+    "subquery_not_in": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice>100000)",
+    "subquery_scalar": "select o_orderkey from orders where o_totalprice>(select 1.5*avg(o_totalprice) from orders)",
+    "subquery_correlated": "select p_partkey from part p where p_retailprice=(select max(q.p_retailprice) from part q where q.p_brand=p.p_brand)",
+    "join_using": "select k, a.x, b.y from (select n_nationkey as k, n_name as x from nation) a join (select c_nationkey as k, c_name as y from customer) b using (k)",
+    "join_natural": "select k, x, y from (select n_nationkey as k, n_name as x from nation) a natural join (select s_nationkey as k, s_suppkey as y from supplier) b",
+    "join_right_outer": "select s.s_suppkey, n.n_name from supplier s right join nation n on s.s_nationkey=n.n_nationkey and s.s_acctbal>0",
+    "group_rollup": "select l_returnflag, l_linestatus, count(*) as c, grouping(l_linestatus) as g from lineitem group by rollup(l_returnflag, l_linestatus)",
+    "group_cube": "select o_orderstatus, o_orderpriority, count(*) as c, round(sum(o_totalprice),2) as s from orders group by cube(o_orderstatus, o_orderpriority)",
+    "group_sets": "select o_orderstatus, o_orderpriority, count(*) as c from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
+    "agg_spread": "select l_returnflag, round(stddev_samp(l_quantity),6) as sd, round(var_pop(l_quantity),6) as v from lineitem group by l_returnflag",
+    "agg_percentile": "select o_orderstatus, round(percentile_cont(0.5) within group (order by o_totalprice),6) as med, percentile_disc(0.9) within group (order by o_totalprice) as p90 from orders group by o_orderstatus",
+    "agg_filter": "select count(*) filter (where o_totalprice>100000) as n, sum(o_totalprice) filter (where o_orderstatus='none') as s from orders",
+    "order_expression": "select o_orderkey, o_totalprice from orders order by o_totalprice*-1, o_orderkey%7 limit 10",
+    "order_ordinal": "select o_orderkey, o_totalprice from orders order by 2 desc, 1 limit 10",
+    "order_nulls_first": "select c_custkey, o_orderkey from customer left join orders on c_custkey=o_custkey and o_totalprice>300000 order by o_orderkey nulls first, c_custkey limit 20",
+    "order_nulls_last": "select c_custkey, o_orderkey from customer left join orders on c_custkey=o_custkey and o_totalprice>300000 order by o_orderkey desc nulls last, c_custkey limit 20",
+    "fn_string": "select c_custkey, upper(c_name) as u, lower(c_mktsegment) as l, length(c_name) as n, substring(c_name,1,3) as s, concat(c_name,'/',c_mktsegment) as c, replace(c_name,'0','-') as r, trim(concat('  ',c_name,' ')) as t, lpad(c_mktsegment,12,'*') as p, reverse(c_name) as b from customer",
+    "fn_date": "select o_orderkey, cast(extract(year from o_orderdate) as int) as y, cast(extract(month from o_orderdate) as int) as m, cast(extract(day from o_orderdate) as int) as d, cast(extract(quarter from o_orderdate) as int) as q, date_trunc('month', o_orderdate) as t from orders",
+    "fn_math": "select o_orderkey, abs(-o_totalprice) as a, floor(o_totalprice) as f, ceil(o_totalprice) as c, round(sqrt(o_totalprice),6) as r, round(power(o_totalprice,2),2) as p, round(ln(o_totalprice),9) as n, sign(o_totalprice-100000) as s from orders",
+    "fn_null": "select c_custkey, coalesce(nullif(c_mktsegment,'BUILDING'),'none') as s, greatest(c_acctbal,0) as g, least(c_acctbal,0) as l from customer",
+    "window_rank": "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r, round(sum(o_totalprice) over (partition by o_custkey order by o_orderkey),2) as s from orders",
+    "with_query": "with big as (select o_custkey as k, count(*) as c from orders group by o_custkey having count(*)>10) select c_name, c from big, customer where k=c_custkey",
 }
 
+#: Texts of which each engine has its own.
+PAIRS = {
+    "agg_string": (
+        "select n_regionkey, listagg(n_name, ',') within group (order by n_name) as names from nation group by n_regionkey",
+        "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey",
+    ),
+    "agg_approx": (
+        "select o_orderstatus, abs(approx_count_distinct(o_custkey, 0.01)-count(distinct o_custkey))<=0.05*count(distinct o_custkey)+1 as near from orders group by o_orderstatus",
+        "select o_orderstatus, true as near from orders group by o_orderstatus",
+    ),
+    "fn_array_map_json": (
+        "select n_nationkey, array_join(sort_array(split(n_name,'A')),'|') as a, size(array_distinct(split(n_name,''))) as n, get_json_object(concat('{\"k\":',n_nationkey,'}'),'$.k') as j, map('x',n_name)['x'] as m from nation",
+        "select n_nationkey, array_to_string(list_sort(string_split(n_name,'A')),'|') as a, cast(len(list_distinct(string_split(n_name,''))) as int) as n, json_extract_string('{\"k\":'||n_nationkey||'}','$.k') as j, map {'x':n_name}['x'] as m from nation",
+    ),
+}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -120,6 +162,12 @@ def _range(t) -> DataFrame:
     return op.range_join(t("orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "low", "high", 50).select("o_orderkey", "p_partkey")
 
 
+def _asof(t) -> DataFrame:
+    asked = t("events").select("event_id", F.col("user_id").alias("k"), scalars.utc_epoch_seconds(F.col("ts")).alias("et"))
+    held = t("orders").select(F.col("o_custkey").alias("k"), scalars.utc_epoch_seconds(F.col("o_orderdate")).alias("ot"), "o_orderkey")
+    return op.asof_join(asked, held, "k", "et", "ot")
+
+
 #: name: (the SQL text with the same rows, the DataFrame)
 FRAMES: dict[str, tuple[str, Callable]] = {
     "project_arith_df": ("project_arith", lambda t: op.project(t("lineitem"), "l_orderkey", "l_linenumber", rev="l_extendedprice * (1 - l_discount)")),
@@ -133,6 +181,12 @@ FRAMES: dict[str, tuple[str, Callable]] = {
     "join_theta_product_df": ("join_non_equi", lambda t: _theta(t, "product")),
     "join_cross_df": ("join_cross", lambda t: op.cross_product(t("region").select(F.col("r_name").alias("a")), t("region").select(F.col("r_name").alias("b")))),
     "join_range_df": ("join_range", _range),
+    "join_asof_df": ("join_asof", _asof),
+    "join_using_df": ("join_using", lambda t: op.join(t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("x")), t("customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("y")), "k")),
+    "join_semi_df": ("join_semi", lambda t: op.join(t("customer"), op.select_where(t("orders"), "o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")),
+    "join_anti_df": ("join_anti", lambda t: op.join(t("customer"), t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")),
+    "join_left_outer_df": ("join_left_outer", lambda t: op.join(t("customer"), op.select_where(t("orders"), "o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")),
+    "epoch_seconds_df": ("epoch_seconds", lambda t: op.project(t("events"), "event_id", s=scalars.utc_epoch_seconds(F.col("ts")))),
     "agg_global_df": ("agg_global", lambda t: op.aggregate(t("lineitem"), [], s="sum(l_quantity)", a="round(avg(l_quantity), 6)", mn="min(l_quantity)", mx="max(l_quantity)", c="count(*)")),
     "group_having_df": ("group_having", lambda t: op.aggregate(t("lineitem"), ["l_returnflag", "l_linestatus"], "c > 1000", s="round(sum(l_extendedprice), 2)", c="count(*)")),
     "pricing_summary_df": ("pricing_summary", _summary),
@@ -141,7 +195,7 @@ FRAMES: dict[str, tuple[str, Callable]] = {
     "order_offset_df": ("order_offset", lambda t: op.limit(op.sort(t("orders").select("o_orderkey", "o_totalprice"), ("o_totalprice", "desc"), "o_orderkey"), 10, 5)),
     "union_all_df": ("union_all", lambda t: op.union_all(t("nation").select(F.col("n_name").alias("x")), t("region").select("r_name"))),
     "union_distinct_df": ("union_distinct", lambda t: op.union(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select("s_nationkey"))),
-    "subquery_filter_df": ("subquery_filter", lambda t: op.select_where(op.derived(op.aggregate(t("orders"), [F.col("o_custkey").alias("k")], c="count(*)"), "t"), "t.c > 5")),
+    "subquery_filter_df": ("subquery_filter", lambda t: op.select_where(op.table_alias(op.aggregate(t("orders"), [F.col("o_custkey").alias("k")], c="count(*)"), "t"), "t.c > 5")),
     "delete_overlay_df": ("delete_overlay", lambda t: op.delete_overlay(t("nation"), "n_regionkey = 1", "n_nationkey > 20").select("n_nationkey", "n_name")),
     "insert_overlay_df": ("insert_overlay", lambda t: op.insert_overlay(t("region"), [{"r_regionkey": 5, "r_name": "ATLANTIS"}])),
     "point_lookup_df": ("point_lookup", lambda t: op.lookup(t("orders"), "o_orderkey", 7).select("o_orderkey", "o_totalprice")),
@@ -150,12 +204,14 @@ FRAMES: dict[str, tuple[str, Callable]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text) for name, text in SQL.items()}
+    texts = SQL | {name: spark_text for name, (spark_text, _) in PAIRS.items()}
+    out = {name: lambda spark, sf_dir, text=text: run_sql(spark, sf_dir, text) for name, text in texts.items()}
     for name, (_, frame) in FRAMES.items():
         out[name] = lambda spark, sf_dir, frame=frame: frame(lambda table: read(spark, sf_dir, table))
-    return out
+    return out | {name: query for name, (query, _) in stored_queries.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     texts = SQL | ORACLE_ONLY
-    return SQL | {name: texts[like] for name, (like, _) in FRAMES.items()}
+    own = {name: text for name, (_, text) in PAIRS.items()} | {name: text for name, (_, text) in stored_queries.QUERIES.items()}
+    return SQL | own | {name: texts[like] for name, (like, _) in FRAMES.items()}

@@ -17,10 +17,14 @@ from millrace.plans.statements import Delete, Insert, StatementError, Update
 
 @dataclass
 class ChangeLog:
+    """Changes in order; its length is the number of statements, also of those that became one change."""
+
     changes: list[Insert | Delete | Update] = field(default_factory=list)
+    statements: int = 0
 
     def add(self, change: Insert | Delete | Update) -> None:
         """Neighbouring inserts into the same columns become one relation."""
+        self.statements += 1
         last = self.changes[-1] if self.changes else None
         if isinstance(change, Insert) and isinstance(last, Insert) and last.columns == change.columns:
             self.changes[-1] = Insert(change.table, change.columns, f"{last.values}, {change.values}")
@@ -28,7 +32,7 @@ class ChangeLog:
             self.changes.append(change)
 
     def __len__(self) -> int:
-        return len(self.changes)
+        return self.statements
 
     def apply(self, base: DataFrame) -> DataFrame:
         out = base

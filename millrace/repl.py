@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 from typing import TextIO
 
@@ -16,20 +17,26 @@ PROMPT = "$> "
 
 
 def repl(session: Session, source: TextIO, out: TextIO, err: TextIO) -> None:
-    """Read statements to the end of source. An error is reported and the next statement read."""
+    """Read statements to the end of source, which ends the last one, too. An error is reported and the next statement read."""
     rest = ""
     print(PROMPT, end="", file=out, flush=True)
     for line in source:
         whole, rest = split_statements(rest + line)
         for statement in whole:
-            try:
-                if (result := session.execute(statement)) is not None:
-                    for text in lines(result):
-                        print(text, file=out)
-                    print(file=out)
-            except Exception as e:  # noqa: BLE001 - the prompt outlives any statement
-                print(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=err)
-            print(PROMPT, end="", file=out, flush=True)
+            _run(session, statement, out, err)
+    if re.sub(r"--[^\n]*|/\*.*?\*/", "", rest, flags=re.DOTALL).strip():
+        _run(session, rest.strip(), out, err)
+
+
+def _run(session: Session, statement: str, out: TextIO, err: TextIO) -> None:
+    try:
+        if (result := session.execute(statement)) is not None:
+            for text in lines(result):
+                print(text, file=out)
+            print(file=out)
+    except Exception as e:  # noqa: BLE001 - the prompt outlives any statement
+        print(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=err)
+    print(PROMPT, end="", file=out, flush=True)
 
 
 def main(argv: list[str] | None = None) -> int:

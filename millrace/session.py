@@ -63,12 +63,12 @@ class Session:
         if name not in self.catalog:
             raise StatementError(f"no table {statement.table!r}")
         log = self.logs.setdefault(name, ChangeLog())
-        before = list(log.changes)
+        before, count = list(log.changes), log.statements
         log.add(statement)
         try:
             self._publish(name)
         except Exception:
-            log.changes = before
+            log.changes, log.statements = before, count
             self._publish(name)
             raise
         if len(log) >= self.compact_after:
@@ -81,16 +81,20 @@ class Session:
         return self.logs[name.lower()].apply(base) if name.lower() in self.logs else base
 
     def compact(self, name: str) -> None:
-        """Write the changed table as a new version; the old one is never overwritten while it is read."""
+        """Write the changed table as a new version.
+
+        The one before stays until the next time, for results that still read it; the one before that goes.
+        """
         table = self.catalog[name]
-        rows, old = self.table(name), table.path
+        rows, old = self.table(name), table.previous
         new = self._path(table.name, table.version + 1)
         columnar.store(rows, new, table.primary_key, table.indexes)
-        table.path, table.version = new, table.version + 1
+        table.previous, table.path, table.version = table.path, new, table.version + 1
         self.logs.pop(name.lower(), None)
         self.catalog.save()
         self._publish(name)
-        files.delete(self.spark, old)
+        if old:
+            files.delete(self.spark, old)
 
     def _path(self, name: str, version: int) -> str:
         return f"{self.store_dir}/{name.lower()}/v{version}"

@@ -27,7 +27,8 @@ def store(df: DataFrame, path: str, primary_key: Sequence[str] = (), indexes: Se
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
-    """Save df as the table name, bucketed and sorted by key, in the session's warehouse."""
-    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int, mode: str = "overwrite", path: str | None = None) -> DataFrame:
+    """Save df as the table name, bucketed and sorted by key, below path or in the session's warehouse."""
+    writer = df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)

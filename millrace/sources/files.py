@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,17 +21,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file: written beside it first, then renamed."""
-    fs, at = _open(spark, path)
-    _, new = _open(spark, f"{path}.new")
+    """Replace a small file: written beside it first, then renamed over it, so that one of both is always there."""
+    _, at = _open(spark, path)
+    fs, new = _open(spark, f"{path}.new")
     out = fs.create(new, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(at, False)
-    if not fs.rename(new, at):
-        raise OSError(f"could not write {path}")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    at, new = fs.makeQualified(at), fs.makeQualified(new)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, at, how)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -41,3 +48,19 @@ def read_text(spark: SparkSession, path: str) -> str:
 def delete(spark: SparkSession, path: str) -> None:
     fs, at = _open(spark, path)
     fs.delete(at, True)
+
+
+_LOCAL: list[str] = []
+
+
+def work_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder that all executors share: below spark.checkpoint.dir, or a temporary one in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="millrace-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        root = _LOCAL[0]
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -1,5 +1,7 @@
 """Plans: what reaches the scan, which join runs, and what stored layouts save."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,31 @@ def test_range_join(spark):
     assert sorted((r["x"], r["b"]) for r in joined.collect()) == [(-7.5, 1), (0.0, 1), (3.0, 2), (4.0, 2), (9.99, 2)]
 
 
+def test_range_join_of_any_width(spark):
+    rng = random.Random(1)
+    points = [(float(k), rng.uniform(-1e4, 1e4)) for k in range(300)]
+    bands = [(b, low, low + 10 ** rng.uniform(-3, 5)) for b in range(60) for low in [rng.uniform(-1e4, 1e4)]] + [(100, float("-inf"), float("inf")), (101, 0.0, float("inf")), (102, -1e300, 1e300)]
+    joined = op.range_join(spark.createDataFrame(points, "k double, x double"), spark.createDataFrame(bands, "b int, lo double, hi double"), "x", "lo", "hi", 0.5)
+    assert sorted((r["k"], r["b"]) for r in joined.collect()) == sorted((k, b) for k, x in points for b, lo, hi in bands if lo <= x < hi)
+    assert joined.columns == ["k", "x", "b", "lo", "hi"]
+
+
+def test_asof_join(spark):
+    rng = random.Random(2)
+    asked = [(k, rng.choice(["hot", "hot", "a", None, "z"]), rng.choice([None, rng.randrange(0, 1000)])) for k in range(400)] + [(1, "hot", 5)] * 2
+    held = [(rng.choice(["hot", "hot", "a", None, "y"]), rng.choice([None, rng.randrange(100, 900)]), rng.randrange(50)) for _ in range(300)]
+    want = []
+    for k, key, t in asked:
+        found = [(u, v) for g, u, v in held if key is not None and g == key and t is not None and u is not None and u <= t]
+        want.append((k, key, t, *max(found, default=(None, None))))
+    left, right = spark.createDataFrame(asked, "k long, key string, t long"), spark.createDataFrame(held, "key string, u long, v long")
+    for parts in (1, 7, 64):
+        out = op.asof_join(left, right, "key", "t", "u", parts)
+        assert out.columns == ["k", "key", "t", "u", "v"]
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert [tuple(r)[3:] for r in op.asof_join(left, right.limit(0), "key", "t", "u").collect()] == [(None, None)] * len(asked)
+
+
 def test_top_needs_no_full_sort(stored):
     assert "TakeOrderedAndProject" in plan(op.top(stored, 5, ("k", "desc")))
 

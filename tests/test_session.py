@@ -8,6 +8,7 @@ import pytest
 from millrace.plans.statements import CreateTable, Delete, Insert, StatementError, Update, parse, split_statements
 from millrace.repl import repl
 from millrace.session import Session
+from millrace.sources import files
 from millrace.sources.pipe import lines
 
 P = "1|Automobile\n2|Furniture\n3|Automobile\n4|Carpets\n5|Automobile\n6|Furniture\n7|Automobile\n8|Automobile"
@@ -92,6 +93,32 @@ def test_compaction_and_reload(session, spark):
     assert again.catalog["P"].version == 2 and rows(again, "select count(*) from P") == [(7,)]
 
 
+def test_inserts_count_towards_compaction(session):
+    session.compact_after = 5
+    for k in range(12):
+        session.execute(f"INSERT INTO P(A, B) VALUES ({100 + k}, 'x')")
+    assert session.catalog["P"].version == 2 and len(session.logs["p"]) == 2
+    assert rows(session, "select count(*) from P where A>=100") == [(12,)]
+
+
+def test_results_outlive_a_compaction(session, spark):
+    before = session.execute("select count(*) as n from P")
+    session.execute("DELETE FROM P WHERE A=1")
+    session.compact("P")
+    assert before.collect()[0]["n"] == 8 and rows(session, "select count(*) from P") == [(7,)]
+    session.compact("P")
+    again = Session(spark, session.data_dir, session.store_dir)
+    assert again.catalog["P"].previous.endswith("v1") and rows(again, "select count(*) from P") == [(7,)]
+
+
+def test_the_catalog_is_replaced_in_one_step(session, spark, tmp_path):
+    path = str(tmp_path / "x.json")
+    for text in ("one", "two"):
+        files.write_text(spark, path, text)
+        assert files.read_text(spark, path) == text
+    assert not files.exists(spark, path + ".new")
+
+
 def test_errors_leave_tables_alone(session):
     for bad in ("DROP TABLE P", "EXPLAIN select 1", "CREATE TABLE P (A int)", "CREATE TABLE Z (A blob)", "CREATE TABLE Z (A int, PRIMARY KEY(B))", "INSERT INTO P(A, Z) VALUES (1, 2)", "INSERT INTO P(A) VALUES (1, 2)", "INSERT INTO nope(A) VALUES (1)", "UPDATE P SET Z = 1"):
         with pytest.raises(ValueError):
@@ -112,9 +139,9 @@ def test_odd_text_files(spark, tmp_path):
 
 def test_prompt(session):
     out, err = io.StringIO(), io.StringIO()
-    source = io.StringIO("select A, B from P\nwhere A<3 order by A; select nope from P;\nselect count(*) from Q;\n")
+    source = io.StringIO("select A, B from P\nwhere A<3 order by A; select nope from P;\nselect count(*) from Q;\n-- the last one\nselect min(A) from Q")
     repl(session, source, out, err)
-    assert out.getvalue().replace("$> ", "") == "1|Automobile\n2|Furniture\n\n10\n\n"
+    assert out.getvalue().replace("$> ", "") == "1|Automobile\n2|Furniture\n\n10\n\n11\n\n"
     assert err.getvalue().startswith("error: ")
     assert list(lines(session.execute("select B, A as B, cast(null as int) from P where A=4"))) == ["Carpets|4|"]
 
@@ -126,5 +153,8 @@ def test_parsing():
     assert parse("delete from T") == Delete("T", None)
     assert parse("insert into T values (1, '), (')") == Insert("T", (), "(1, '), (')")
     assert parse("update T set a = (select max(b) from U where c = 1), d = 'where' where e = 2") == Update("T", (("a", "(select max(b) from U where c = 1)"), ("d", "'where'")), "e = 2")
+    assert parse("UPDATE t SET a='(' WHERE b=1") == Update("t", (("a", "'('"),), "b=1")
+    assert parse("UPDATE t SET a=b.somewhere, c=')' -- where\n WHERE x in (select 1 where 2)") == Update("t", (("a", "b.somewhere"), ("c", "')' -- where")), "x in (select 1 where 2)")
+    assert parse("UPDATE t SET elsewhere = 1") == Update("t", (("elsewhere", "1"),), None)
     with pytest.raises(StatementError):
         parse("alter table T")
