@@ -127,8 +127,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
     docs needs doc_id and text, labels doc_id and quality; other columns are ignored. Null and
-    empty texts are scored by their statistics, all of a text of length 0. Labels of a repeated id are averaged, so that
-    each id counts once. Without labelled rows every score is 0. Repeated rows give repeated results.
+    empty texts are scored by their statistics, all of a text of length 0; a very long text is read whole, and a task holds
+    one batch of texts. Labels of a repeated id are averaged, so that
+    each id counts once. Without labelled rows every score is 0. Repeated rows give repeated results; an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
     kinds = ", ".join(f"{c} double" for c in STATISTICS)
@@ -137,7 +138,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
     train = stage_table(rows.join(known, "doc_id").select(*STATISTICS, "label", half), "labelled")
     stats = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in STATISTICS), *(F.stddev_pop(c).alias(f"s_{c}") for c in STATISTICS)).first()
-    some = np.array([list(r) for r in train.select(*STATISTICS).orderBy(F.xxhash64(*STATISTICS)).limit(WIDTH_ROWS).collect()])
+    # WIDTH_ROWS rows at most, in an order that follows from them alone.
+    some = np.array(sorted(list(r) for r in train.select(*STATISTICS).orderBy(F.xxhash64(*STATISTICS)).limit(WIDTH_ROWS).collect()))
     flag = held_out(F.col("doc_id")).alias("held_out")
     if not len(some):
         return rows.select("doc_id", flag, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -159,4 +161,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_quality() of all documents, with the labels of the learning fold."""
     return score_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))

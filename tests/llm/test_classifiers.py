@@ -2,11 +2,13 @@
 
 import hashlib
 import os
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import isotonic, quality, toxicity
@@ -171,6 +173,56 @@ def test_every_word_of_the_examples_is_searched(spark):
     assert got[1003][1] == got[1004][1] == ""
 
 
+def brute_quality(docs, labels):
+    """doc_id -> score from the definitions: features of all rows, one normal equation, isotonic curve over the halves' cross scores."""
+    known = {}
+    for d, y in labels:
+        if d is not None and y is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            known.setdefault(d, []).append(y)
+    x = np.array([quality.statistics(t) for _, t in docs])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z = np.clip((x - mean) / scale, -8, 8)
+    at = [k for k, (d, _) in enumerate(docs) if d in known]
+    y = np.array([np.mean(known[docs[k][0]]) for k in at])
+    rng = np.random.default_rng(quality.SEED)
+    some = z[sorted(at, key=lambda k: x[k].tolist())]
+    far = np.linalg.norm(some - some[rng.permutation(len(some))], axis=1)
+    width = np.median(far[far > 0])
+    w, b = rng.normal(size=(x.shape[1], quality.FEATURES)) / width, rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    f = np.hstack([np.cos(z @ w + b) * np.sqrt(2 / quality.FEATURES), np.ones((len(z), 1))])
+
+    def fit(rows, goal):
+        a = f[rows].T @ f[rows] + np.diag([quality.RIDGE] * quality.FEATURES + [1e-6])
+        return np.linalg.solve(a, f[rows].T @ goal)
+
+    half = np.array([xxhash.xxh64(struct.pack("<q", docs[k][0]), seed=42).intdigest() % 2 for k in at])
+    at = np.array(at)
+    cross = np.where(half == 0, f[at] @ fit(at[half == 1], y[half == 1]), f[at] @ fit(at[half == 0], y[half == 0]))
+    bins = np.clip(np.floor((cross + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1)
+    knots = isotonic.fit((bins + 0.5) * 2 / quality.BINS - 0.5, y, np.ones(len(y)))
+    return dict(zip([d for d, _ in docs], isotonic.apply(knots, f @ fit(at, y)).tolist(), strict=True))
+
+
+def test_quality_is_that_of_the_definition(spark):
+    rng = np.random.default_rng(3)
+    good = lambda: " ".join("abcdefghij"[int(rng.integers(10))] * int(rng.integers(2, 9)) for _ in range(int(rng.integers(5, 60)))) + "."
+    bad = lambda: " ".join("#!9Z|"[int(rng.integers(5))] * int(rng.integers(1, 12)) for _ in range(int(rng.integers(1, 40))))
+    docs = [(k, good() if k % 3 else bad()) for k in range(300)] + [(500, ""), (501, None), (502, "x" * 30_000)]
+    labels = [(k, int(k % 3 > 0)) for k in range(200)] + [(4, 0), (None, 1), (6, None)]
+    want = brute_quality(docs, labels)
+    got = quality.score_quality(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == len(docs) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in got)
+
+
+def test_statistics_are_those_of_the_whole_text():
+    got = dict(zip(quality.STATISTICS, quality.statistics("Ab, c! 12|é\nAb, c! 12|é\n\n#"), strict=True))
+    raw = len("Ab, c! 12|é\nAb, c! 12|é\n\n#".encode())
+    assert got["log_chars"] == np.log1p(26) and got["log_words"] == np.log1p(7) and got["distinct_words"] == 4 / 7
+    assert got["upper"] == 2 / raw and got["letters"] == 4 / raw and got["digits"] == 4 / raw and got["bars"] == 2 / raw and got["symbols"] == 1 / raw
+    assert got["high_bytes"] == 4 / raw and got["commas"] == 2 / raw and got["exclamations"] == 2 / raw and got["log_lines"] == np.log1p(4)
+    assert got["repeated_lines"] == 1 - 3 / 4 and got["capital_words"] == 2 / 7 and got["longest_word"] == np.log1p(4)
+
+
 def test_capital_words_counts_all_words():
     at = quality.STATISTICS.index("capital_words")
     assert quality.statistics("a b C D E F G H i j")[at] == 0.6
