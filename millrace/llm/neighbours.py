@@ -182,8 +182,12 @@ def _matrix(column) -> np.ndarray:
 FOUND = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def best(row: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, named: np.ndarray, y: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest of the vectors x (their rows and ids) for each query vector y, by exact distance; not its own row."""
+#: Candidates that a task holds before it sends on what is left of them.
+HELD = 1 << 18
+
+
+def best(row: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, named: np.ndarray, y: np.ndarray, k: int) -> list[np.ndarray]:
+    """(row, query_id, vec_id, score) of the k nearest of the vectors x (their rows and ids) for each query vector y, by exact distance; not its own row."""
     none, square = np.zeros(0, np.int64), (x * x).sum(axis=1)
     found = [(none, none, none, np.zeros(0))]
     for a in range(0, len(y), 64):
@@ -196,14 +200,29 @@ def best(row: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, named
             d = np.sqrt(((x[at] - y[q]) ** 2).sum(axis=1))
             top = np.lexsort((ids[at], d))[:k]
             found.append((np.full(len(top), own[q]), np.full(len(top), named[q]), ids[at][top], d[top]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=FOUND)
+    return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+
+def nearest_of(found: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """The k nearest of each row among candidates (row, query_id, vec_id, score)."""
+    row, named, ids, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((ids, score, row))
+    first = np.searchsorted(row[order], row[order])
+    order = order[np.arange(len(order)) - first < k]
+    return [row[order], named[order], ids[order], score[order]]
 
 
 def _search(k: int):
-    """Consumes rows (part, cell, query, row, vec_id, v) sorted by the first three; holds one cell's vectors and one batch."""
+    """Consumes rows (part, cell, query, row, vec_id, v) sorted by the first three.
+
+    Holds one cell's vectors, one batch, and HELD candidates: a query's from the cells of a task are merged.
+    """
+
+    def made(found):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=FOUND)
 
     def run(batches):
-        key, rows, cell = None, [], None
+        key, rows, cell, found = None, [], None, []
         for batch in batches:
             at = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
             cuts = np.concatenate([[0], 1 + np.flatnonzero((at[1:] != at[:-1]).any(axis=1)), [len(at)]])
@@ -219,7 +238,13 @@ def _search(k: int):
                     continue
                 cell = cell or ([np.concatenate(c) for c in zip(*rows, strict=True)] if rows else None)
                 if cell:
-                    yield best(*cell, row[low:high], ids[low:high], v[low:high], k)
+                    found.append(best(*cell, row[low:high], ids[low:high], v[low:high], k))
+                if sum(len(f[0]) for f in found) > HELD:
+                    found = [nearest_of(found, k)]
+                    if len(found[0][0]) > HELD // 2:
+                        yield made(found.pop())
+        if found:
+            yield made(nearest_of(found, k))
 
     return run
 

@@ -57,6 +57,33 @@ def test_rows_that_share_an_id(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(100, 1, 100)] * 2
 
 
+def test_merged_candidates_are_the_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = [(k, rng.normal(size=4)) for k in range(600)]
+    df = frame(spark, vectors)
+    want = sorted(map(tuple, nb.nearest(df, F.col("vec_id") % 3 == 0).collect()))
+    found = [[rng.integers(0, 5, 40), rng.integers(0, 5, 40), rng.integers(0, 99, 40), rng.random(40).round(1)] for _ in range(3)]
+    got = list(zip(*(c.tolist() for c in nb.nearest_of(found, 3)), strict=True))
+    rows = sorted((r, s, i) for f in found for r, _, i, s in zip(*f, strict=True))
+    assert [(r, s, i) for r, _, i, s in got] == [x for q in range(5) for x in [y for y in rows if y[0] == q][:3]]
+    assert len(want) == 2000
+    # With hardly any room the same rows are found, in more batches.
+    import pyarrow as pa
+
+    def batch(part, cell, query, rows):
+        n = len(rows)
+        cols = [pa.array([x] * n, pa.int64()) for x in (part, cell, query)] + [pa.array([r for r, _ in rows], pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([*cols, pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], names=["part", "cell", "query", "row", "vec_id", "v"])
+
+    dealt = [batch(p, 0, q, vectors[200 * p : 200 * p + 200] if not q else vectors[:100]) for p in range(3) for q in (0, 1)]
+    ends = []
+    for held in (1 << 18, 500):
+        monkeypatch.setattr(nb, "HELD", held)
+        sent = list(nb._search(10)(iter(dealt)))
+        ends.append((len(sent), [c.tolist() for c in nb.nearest_of([[b.column(k).to_numpy() for k in range(4)] for b in sent], 10)]))
+    assert ends[0][0] == 1 < ends[1][0] and ends[0][1] == ends[1][1]
+
+
 def test_parts_grow_with_the_rows():
     assert [nb.levels_for(n, 4096) for n in (10, 150, 1000, 51_200, 10**9)] == [0, 0, 3, 9, 9]
     assert nb.levels_for(10**9, 500) == 5
