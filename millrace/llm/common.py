@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pathlib
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,41 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_STATE: dict = {}
+
+
+def release_memory() -> None:
+    """Give back what Python and Arrow hold of freed memory; a no-op where the C library can't."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def worker_state(key, make):
+    """What make() gives, kept by this worker until another key is asked for.
+
+    So a worker that serves stage after stage holds one stage's tables at a time.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        release_memory()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def trimmed(run):
+    """run over batches; freed memory is given back at its end, for the worker lives on."""
+
+    def whole(*batches):
+        yield from run(*batches)
+        release_memory()
+
+    return whole
+
+
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one after the other."""
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())

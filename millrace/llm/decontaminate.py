@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_TABLE, spread, stage_table, table, words_of
+from millrace.llm.common import WORD_TABLE, spread, stage_table, table, trimmed, words_of, worker_state
 
 WINDOW = 10
 WINDOWS_PER_PASS = 40_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_AUTOMATA: dict[str, object] = {}
 
 
 def windows_of(text: str | None, size: int = WINDOW) -> list[tuple[bytes, int]]:
@@ -51,17 +50,18 @@ def window_passes(items: DataFrame, size: int = WINDOW, limit: int = WINDOWS_PER
 
 def _automaton(shared):
     """This worker's automaton of a broadcast dictionary."""
-    if shared.value["key"] not in _AUTOMATA:
+
+    def built():
         import ahocorasick
 
-        _AUTOMATA.clear()  # of an earlier pass or query
         made = ahocorasick.Automaton()
         for window, (n, ids) in shared.value["windows"].items():
             made.add_word(f" {window.decode('latin-1')} ", (n, ids))
         if len(made):
             made.make_automaton()
-        _AUTOMATA[shared.value["key"]] = made
-    return _AUTOMATA[shared.value["key"]]
+        return made
+
+    return worker_state(shared.value["key"], built)
 
 
 def find(automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit:
         if first or windows:
             out = out if first else stage_table(out, "scanned")
             shared = sc.broadcast({"key": uuid.uuid4().hex, "windows": windows})
-            out = out.mapInArrow(_scan(shared, first), SCANNED_SQL)
+            out = out.mapInArrow(trimmed(_scan(shared, first)), SCANNED_SQL)
             first = False
     return out.mapInArrow(_digest, RESULT_SQL)
 
@@ -169,7 +169,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, lim
         if not k or windows:
             docs = stage_table(docs, "clean") if k else docs
             shared = docs.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": windows})
-            docs = docs.mapInArrow(_clean(shared), docs.schema)
+            docs = docs.mapInArrow(trimmed(_clean(shared)), docs.schema)
     return docs
 
 

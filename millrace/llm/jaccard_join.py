@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import fresh, ranges, spread, stage_table, table, words_of
+from millrace.llm.common import fresh, ranges, spread, stage_table, table, trimmed, words_of
 from millrace.llm.components import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)
@@ -327,7 +327,7 @@ def _text_key():
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows (doc_id, text_key), and of the texts (text_key, low_id, n_copies, n_links, class_id, lead)."""
-    sketch = stage_table(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, text_key binary, bands array<long>, bytes binary"), "sketches")
+    sketch = stage_table(docs.select("doc_id", "text").mapInArrow(trimmed(_sketch), "doc_id long, text_key binary, bands array<long>, bytes binary"), "sketches")
     texts = sketch.groupBy("text_key").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     # Written once, so that a text's number is fixed.
     texts = stage_table(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
@@ -335,14 +335,14 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stage_table(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", _cut(F.col("n"), NEAR_BLOCK).alias("blocks")), "buckets")
     spot = F.expr("pmod(xxhash64(node), blocks)")
     near = keys.join(shared, "band").join(texts.select("node", "bytes"), "node").withColumn("block", spot)
-    near = _units(near, "band", "node", "bytes").mapInArrow(_near, "a long, b long")
+    near = _units(near, "band", "node", "bytes").mapInArrow(trimmed(_near), "a long, b long")
     clusters = stage_table(components(near), "clusters")
     sizes = stage_table(clusters.groupBy("component").agg(F.count("*").alias("n")).select("component", _cut(F.col("n"), BLOCK, MOST, MANY).alias("blocks")), "cluster-sizes")
     placed = clusters.join(sizes, "component").join(texts.select("node", "text_key"), "node").select(F.col("component").alias("cluster"), "blocks", spot.alias("block"), "node", "text_key")
     # Copies go before they are shuffled.
     whole = docs.select(_text_key().alias("text_key"), "text").groupBy("text_key").agg(F.first("text").alias("text"))
-    members = placed.join(whole, "text_key").select("cluster", "blocks", "block", "node", "text").mapInArrow(_members, "cluster long, blocks long, block long, node long, sig binary, hashes binary")
-    found = _units(members, "cluster", "block", "node", "sig", "hashes").mapInArrow(_pairs, "a long, b long, links long")
+    members = placed.join(whole, "text_key").select("cluster", "blocks", "block", "node", "text").mapInArrow(trimmed(_members), "cluster long, blocks long, block long, node long, sig binary, hashes binary")
+    found = _units(members, "cluster", "block", "node", "sig", "hashes").mapInArrow(trimmed(_pairs), "a long, b long, links long")
     found = stage_table(found, "links")
     counts = found.where("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     classes = components(found.where("links IS NULL").select("a", "b")).withColumnRenamed("component", "lead")

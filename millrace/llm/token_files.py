@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import ranges, spread, stage_table, table, work_path
+from millrace.llm.common import ranges, spread, stage_table, table, trimmed, work_path, worker_state
 
 HEAD = struct.Struct("<4sIQQQ")
 MAGIC = b"MRT1"
@@ -55,7 +55,6 @@ ODD_SPACE = r"[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\
 SPACES = ("\u0120", "\u010a")
 #: Words that one string hands to the tokenizer at once.
 JOINED = 1024
-_TOKENIZERS: dict[str, tuple] = {}
 
 
 def default_tokenizer() -> str:
@@ -156,20 +155,21 @@ def _tokenizer(path: str):
     begins with one of them; no ids are given for others. Texts that hold a token which the
     tokenizer was given beside its vocabulary are tokenised whole.
     """
-    if path not in _TOKENIZERS:
+    def made():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        made = json.loads(tok.to_str())
-        cut = made["pre_tokenizer"] or {}
-        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made["normalizer"]
+        spec = json.loads(tok.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec["normalizer"]
         kind = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
         starts = np.zeros(1 + max(tok.get_vocab().values()), bool)
         starts[[k for w, k in tok.get_vocab().items() if w[:1] in SPACES]] = True
-        whole = "|".join([ODD_SPACE, *(re.sub(r"([^0-9A-Za-z])", r"\\\1", t["content"]) for t in made["added_tokens"])])
-        _TOKENIZERS[path] = (tok, Memory(kind), starts if plain else None, kind, whole)
-    return _TOKENIZERS[path]
+        whole = "|".join([ODD_SPACE, *(re.sub(r"([^0-9A-Za-z])", r"\\\1", t["content"]) for t in spec["added_tokens"])])
+        return tok, Memory(kind), starts if plain else None, kind, whole
+
+    return worker_state(("tokenizer", path), made)
 
 
 def _word_ids(tok, new: list[str], starts: np.ndarray, kind: np.dtype) -> list[bytes]:
@@ -370,7 +370,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None) -
     encoded whole and stands in one block.
     """
     spark = docs.sparkSession
-    staged = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(tokenise(tokenizer or default_tokenizer()), STAGE_SQL)
+    staged = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(trimmed(tokenise(tokenizer or default_tokenizer())), STAGE_SQL)
     staged = stage_table(staged, "tokens", "snappy", f"{out}/staged")
     counts = staged.where("counts IS NOT NULL").select("counts").mapInArrow(count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row per vocabulary entry: bounded by the tokenizer, not by the corpus.
@@ -380,7 +380,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None) -
     total = sum(r["n"] for r in ranked)
     n_files = max(1, -(-total // FILE_IDS))
     sorted_docs = staged.where("counts IS NULL").drop("counts").repartitionByRange(n_files, "doc_id", "n", "mark").sortWithinPartitions("doc_id", "n", "mark")
-    blocks = sorted_docs.select("doc_id", "width", "ids").mapInArrow(_encode(order), "block binary")
+    blocks = sorted_docs.select("doc_id", "width", "ids").mapInArrow(trimmed(_encode(order)), "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/files")
 
 
@@ -413,7 +413,7 @@ def read_token_files(spark: SparkSession, out: str, digest: bool = False) -> Dat
     order = spark.sparkContext.broadcast(np.array([r["id"] for r in ranks], np.int64))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/files").where("length > 0").select("path", "content")
     last = "ids_crc32 long" if digest else "ids binary"
-    return files.mapInArrow(_decode(order, digest), f"file long, start_in_file long, doc_id long, n_tokens long, {last}")
+    return files.mapInArrow(trimmed(_decode(order, digest)), f"file long, start_in_file long, doc_id long, n_tokens long, {last}")
 
 
 def token_index(spark: SparkSession, out: str) -> DataFrame:

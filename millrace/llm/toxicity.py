@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import isotonic
-from millrace.llm.common import fresh, held_out, labelled_fold, ranges, spread, stage_table, table, word_column, words_of
+from millrace.llm.common import fresh, held_out, labelled_fold, ranges, spread, stage_table, table, trimmed, word_column, words_of, worker_state
 
 SAMPLE, K = 6000, 16
 #: Examples of a block, and texts that are searched at once.
@@ -183,15 +183,14 @@ class BlockMaxIndex:
         return float(cosine @ self.labels[at] / cosine.sum()) if len(at) else -1.0
 
 
-_BUILT: dict[str, tuple] = {}
+def _built(model: dict) -> tuple[dict[bytes, int], BlockMaxIndex | None]:
+    """This worker's terms and index of a broadcast model."""
 
+    def made():
+        index = BlockMaxIndex(model["ids"], model["labels"], _split(model["counts"], model["lengths"]), model["scale"]) if model["ids"] else None
+        return _terms_of(model["words"]), index
 
-def _built(model: dict) -> tuple[dict[bytes, int], BlockMaxIndex | None]:
-    """This worker's terms and index of a broadcast model; those of an earlier one go."""
-    if model["key"] not in _BUILT:
-        _BUILT.clear()
-        _BUILT[model["key"]] = _terms_of(model["words"]), BlockMaxIndex(model["ids"], model["labels"], _split(model["counts"], model["lengths"]), model["scale"]) if model["ids"] else None
-    return _BUILT[model["key"]]
+    return worker_state(model["key"], made)
 
 
 def _terms_of(words: bytes) -> dict[bytes, int]:
@@ -257,7 +256,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, score: str = "score", eviden
     """docs, all its columns, with the new columns score and evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(build_model(docs, labels))
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(evidence, T.StringType())])
-    return docs.mapInArrow(_score(shared, score, evidence), schema)
+    return docs.mapInArrow(trimmed(_score(shared, score, evidence)), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,8 +299,8 @@ def build_model(docs: DataFrame, labels: DataFrame, column: str = "toxic", sampl
         return {"key": uuid.uuid4().hex, "words": b"", "ids": [], "labels": [], "counts": np.zeros((0, 2), np.int32), "lengths": [], "scale": np.zeros(0), "knots": None, "default": float(mean or 0)}
     words = " ".join(found["word"].to_pylist()).encode()
     shared = sc.broadcast(words)
-    rows = sample.select("doc_id", "label", "text").mapInArrow(_vectors(shared), "doc_id long, label int, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
-    seen = docs.select("text").mapInArrow(_count_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = sample.select("doc_id", "label", "text").mapInArrow(trimmed(_vectors(shared)), "doc_id long, label int, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
+    seen = docs.select("text").mapInArrow(trimmed(_count_frequencies(shared)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     at, n = (seen[c].to_numpy() for c in ("term", "n"))
     held = np.zeros(len(found))
     held[at[at >= 0]] = n[at >= 0]

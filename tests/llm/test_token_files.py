@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from millrace.llm import common
 from millrace.llm import token_files as tf
 from millrace.llm.common import work_path
 
@@ -38,10 +39,11 @@ def test_memory_is_bounded_and_right(plain, monkeypatch):
     for words, ids in ((50, 4000), (4000, 90)):
         monkeypatch.setattr(tf, "MEMORY_WORDS", words)
         monkeypatch.setattr(tf, "MEMORY_IDS", ids)
-        monkeypatch.setattr(tf, "_TOKENIZERS", {})
+        common._STATE.clear()
         for k in range(20):
             texts = [" ".join(f"w{(k * j) % 300}" for j in range(30 + k)), "a " + "long" * 40 + " b\0 b", "the same words", " a", "a\n", "a  b"]
             assert [g.tolist() for g in tf.encode_texts(pa.array(texts), PATH)] == [plain(t) for t in texts]
+    common._STATE.clear()
 
 
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50), st.integers(0, 3))
