@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from millrace.operators.relational import estimated_bytes
 
 #: A-Z to a-z; every ASCII byte that is neither digit nor letter to a space. Bytes of
 #: multi-byte UTF-8 characters stay, so that words are [0-9a-z] and non-ASCII runs.
@@ -50,10 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs of less than this for each core are dealt over all cores, for a small file may be one task.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if its files give fewer splits than there are; else as it is."""
+    """df dealt over all cores if the optimiser takes it for small; else as its files are cut. The rows are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * SPREAD_BYTES else df
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -91,6 +98,19 @@ def stage_table(df: DataFrame, tag: str, codec: str = "zstd", path: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_sums_before(rows: DataFrame, tag: str, value: str, *order: str) -> DataFrame:
+    """rows with before, the sum of value over all rows that come earlier in the order, which must be total.
+
+    Rows are dealt by ranges and added up range by range; only one row for each range stands in one place.
+    """
+    dealt = stage_table(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), tag)
+    earlier = (Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(F.sum(value).alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("part_at"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("part").orderBy(*order).rowsBetween(*earlier)), F.lit(0))
+    return dealt.withColumn("inside", inside).join(parts, "part").withColumn("before", F.col("part_at") + F.col("inside")).drop("part", "part_at", "inside")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a working folder through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import fresh, spread, stage_table, table
+from millrace.llm.common import fresh, spread, stage_table, table, with_sums_before
 
 DIMS, BITS = 4, 3
 SHARDS = 24
@@ -88,14 +88,8 @@ def equal_depth_cuts(rows: DataFrame, total: int) -> list[list[tuple[int, object
     """
     each = F.array(*(F.struct(F.lit(k).alias("dim"), (F.col(s) if s else F.lit(None).cast("string")).alias("s"), (F.col(v) if v else F.lit(None)).cast("long").alias("v")) for k, (s, v) in enumerate(VALUES)))
     seen = rows.select(F.explode(each).alias("x"), "n").groupBy("x.dim", "x.s", "x.v").agg(F.sum("n").alias("n"))
-    order = ["dim", F.col("s").asc_nulls_first(), F.col("v").asc_nulls_first()]
-    dealt = stage_table(seen.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "shard-values")
-    upto = (Window.unboundedPreceding, -1)
-    # One row for each range.
-    parts = dealt.groupBy("part").agg(F.sum("n").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("part_at"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(*upto)), F.lit(0))
-    bins = dealt.withColumn("inside", inside).join(parts, "part").withColumn("bin", F.expr(f"int(({1 << BITS} * (part_at + inside - dim * {total})) div {max(total, 1)})"))
+    placed = with_sums_before(seen, "shard-values", "n", "dim", "s", "v")
+    bins = placed.withColumn("bin", F.expr(f"int(({1 << BITS} * (before - dim * {total})) div {max(total, 1)})"))
     cuts = bins.groupBy("dim", "bin").agg(F.min(F.struct("s", "v")).alias("at")).where("bin > 0").collect()
     return [sorted((r["bin"], r["at"]["s"] if s else r["at"]["v"]) for r in cuts if r["dim"] == k) for k, (s, _) in enumerate(VALUES)]
 

@@ -32,9 +32,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.common import ranges, spread, stage_table, table, trimmed, work_path, worker_state
+from millrace.llm.common import ranges, spread, stage_table, table, trimmed, with_sums_before, work_path, worker_state
 
 HEAD = struct.Struct("<4sIQQQ")
 MAGIC = b"MRT1"
@@ -419,10 +418,7 @@ def read_token_files(spark: SparkSession, out: str, digest: bool = False) -> Dat
 def token_index(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
     rows = stage_table(read_token_files(spark, out, digest=True), "token-index", path=f"{out}/index")
-    # One row per file, so the window holds few rows.
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("file", before.alias("before"))
+    starts = with_sums_before(rows.groupBy("file").agg(F.sum("n_tokens").alias("n")), "file-starts", "n", "file").drop("n")
     return rows.join(starts, "file").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
