@@ -1,9 +1,13 @@
 """Personal data against the plain patterns."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,8 +91,6 @@ def test_odd_rows(odd, odd_rows, none):
 
 
 def test_em_finds_the_reliable_labelers():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
     votes = np.stack([np.where(rng.random(4000) < a, truth, ~truth) * 2 - 1 for a in (0.95, 0.9, 0.6)], axis=1)
@@ -99,8 +101,6 @@ def test_em_finds_the_reliable_labelers():
 
 
 def test_em_ignores_abstentions():
-    import numpy as np
-
     # The strict pattern knows nothing of the last candidates; the others, found reliable elsewhere, decide.
     votes = np.array([[1, 1, 1], [-1, -1, -1], [1, 1, -1], [-1, 1, -1], [0, 1, 1], [0, -1, -1]])
     p, _, _ = pii.reliabilities(votes, np.array([400.0, 300, 20, 20, 1, 1]))
@@ -134,3 +134,98 @@ def test_the_span_classifier_sees_span_and_context():
     w = pii.classifier(counts, rows)["secret"]
     x = pii.design([{**rows[0], **dict.fromkeys(pii.LABELERS, 0)}, {**rows[1], **dict.fromkeys(pii.LABELERS, 0)}])
     assert x.shape[1] == len(w) and (x @ w)[0] > 0 > (x @ w)[1]
+
+
+def candidates(text):
+    """Loose matches with votes and features, from the definitions."""
+    found, last = [], 0
+    matches = list(re.finditer(pii.ANY_LOOSE, text or ""))
+    for k, m in enumerate(matches):
+        after = text[m.end() : matches[k + 1].start() if k + 1 < len(matches) else len(text)]
+        tail, head, value = text[last : m.start()][-40:], after[:1], m[0]
+        last = m.end()
+        if re.search(r"@|[\[(]at[\])]", value):
+            kind = "email"
+        elif re.fullmatch(pii.LOOSE["ip"], value):
+            kind = "ip"
+        elif re.fullmatch(pii.LOOSE["card"], value):
+            kind = "card"
+        else:
+            kind = "secret" if re.search("[A-Za-z]", value) else "phone"
+        digits, low = re.sub("[^0-9]", "", value), tail.lower()
+        n = len(digits)
+        good = {
+            "email": lambda: re.fullmatch(PLAIN["email"], value),
+            "ip": lambda: ":" in value or all(int(x) <= 255 for x in value.split(".")),
+            "card": lambda: 14 <= n <= 19 and luhn(digits),
+            "secret": lambda: re.search(pii.SECRET_FORMATS, value),
+            "phone": lambda: 10 <= n <= 15 and value[0] == "+",
+        }[kind]()
+        yes = lambda c: 1 if c else -1
+        code = (re.match(r"\+([0-9]{1,3})", value) or ["", ""])[1]
+        known = {
+            "email": lambda: yes(re.split(r"[.\s)\]]+", value)[-1].lower() in pii.TOP_DOMAINS),
+            "ip": lambda: 0 if ":" in value else yes(0 < int(value.split(".")[0]) < 240),
+            "card": lambda: yes(digits[0] in "3456"),
+            "secret": lambda: int(value.startswith(pii.SECRET_STARTS)),
+            "phone": lambda: yes({code, code[:2], code[:1]} & set(pii.CALLING_CODES)) if code else 0,
+        }[kind]()
+        letters = sum(c.isascii() and c.isalpha() for c in value)
+        shape = {
+            "email": lambda: len(value) <= 64,
+            "ip": lambda: not re.search(r"(?:^|\.)0[0-9]", value),
+            "card": lambda: n in (15, 16),
+            "secret": lambda: n >= 3 and letters >= 3 and len(set(value)) >= 8 and not re.search("[A-Za-z]{9}", value) and not re.fullmatch("[A-Za-z]+[0-9]{1,4}", value),
+            "phone": lambda: 10 <= n <= 13 and re.search(r"[+()]|-[0-9]+-|\.[0-9]+\.", value),
+        }[kind]()
+        word = (re.search(r"([^\W\d_]+)[\W\d_]*$", tail) or ["", ""])[1].lower()
+        around = lambda c: pii.AROUND.index(c) if c in pii.AROUND else len(pii.AROUND)
+        size = len(value)
+        found.append(
+            {
+                "kind": kind, "start": m.start(), "end": m.end(),
+                "regex": 1 if good else -1 if kind in ("card", "ip") or (kind == "secret" and re.search(pii.NO_SECRET, value)) else 0,
+                "gazetteer": known,
+                "context": 1 if re.search(pii.CONTEXT[kind], low) else -1 if re.search(pii.AGAINST, low) else 0,
+                "edges": yes(not re.search("[a-z0-9_]$", low) and not re.match("[A-Za-z0-9_]", head)),
+                "shape": yes(shape),
+                "length": np.log(size), "digits": n / size, "capitals": len(re.sub("[^A-Z]", "", value)) / size, "marks": len(re.sub("[0-9A-Za-z]", "", value)) / size,
+                "different": len(set(value)) / size, "turns": len(re.findall("[A-Za-z][0-9]|[0-9][A-Za-z]", value)) / size,
+                "word": xxhash.xxh64(word.encode(), seed=42).intdigest() % pii.WORDS if word else -1, "front": around(tail[-1:]), "back": around(head),
+            }
+        )
+    return found
+
+
+def brute_spans(texts):
+    """All spans of each text: the base, and loose matches that the fitted classifier accepts beside it."""
+    every = [candidates(t) for t in texts]
+    flat = [c for own in every for c in own]
+    counts = Counter((c["kind"], *(c[x] for x in pii.LABELERS)) for c in flat)
+    weights = pii.classifier([dict(zip(("kind", *pii.LABELERS), k, strict=True)) | {"n": n} for k, n in counts.items()], flat)
+    out = []
+    for text, own in zip(texts, every, strict=True):
+        spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base(text).split(",") if x)]
+        free = [c for c in own if c["regex"] >= 0 and all(b <= c["start"] or a >= c["end"] for a, b, _ in spans)]
+        spans += [(c["start"], c["end"], c["kind"]) for c in free if (pii.design([c]) @ weights[c["kind"]])[0] >= 0]
+        out.append(",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], pii.ALL.index(x[2])))))
+    return out
+
+
+def test_added_spans_are_those_of_the_definition(spark):
+    rng = random.Random(21)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    pieces = [
+        lambda: rng.choice(["the", "and", "Wörter", "call", "server", "card", "version", "token", "mail", "x"]),
+        lambda: f"+{rng.choice(['1', '44', '999'])} ({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}", lambda: f"{number(3)} {number(3)} {number(4)}",
+        lambda: number(16), lambda: "4845168114407329", lambda: "7536784127813050 4845168114407329", lambda: f"{rng.randrange(300)}.{rng.randrange(300)}.{rng.randrange(9)}.{rng.randrange(99)}",
+        lambda: f"{rng.choice('abc')}.b@site{rng.randrange(9)}.{rng.choice(['com', 'zzz'])}", lambda: "jane [at] site [dot] org", lambda: "2001:db8:0:0:1:0:0:" + number(1),
+        lambda: f'token = "{hashlib.sha1(number(5).encode()).hexdigest()}"', lambda: f"password={hashlib.md5(number(5).encode()).hexdigest()[:18]}", lambda: "AKIA" + hashlib.md5(number(5).encode()).hexdigest()[:16].upper(),
+        lambda: f"https://www.site.com/path/page{number(6)}.html", lambda: f"commit {hashlib.sha1(number(5).encode()).hexdigest()}", lambda: f"report_2024_{rng.choice(['final', 'draft'])}_{number(4)}", lambda: "\n",
+    ]
+    texts = [" ".join(rng.choice(pieces)() if rng.random() < 0.5 else pieces[0]() for _ in range(rng.randrange(25))) for _ in range(250)] + ["", None]
+    want = brute_spans(texts)
+    got = {r["doc_id"]: r for r in pii.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert [got[k]["spans"] for k in range(len(texts))] == want
+    assert all(r["n_spans"] == len(list(filter(None, r["spans"].split(",")))) and r["n_secret"] == r["spans"].count("secret:") for r in got.values())
+    assert sum("secret:" in w for w in want) > 30 and sum(len(w.split(",")) for w in want) > sum(len(base(t).split(",")) for t in texts) + 50
