@@ -83,7 +83,7 @@ SQL = {
     "join_using": "select k, a.x, b.y from (select n_nationkey as k, n_name as x from nation) a join (select c_nationkey as k, c_name as y from customer) b using (k)",
     "join_natural": "select k, x, y from (select n_nationkey as k, n_name as x from nation) a natural join (select s_nationkey as k, s_suppkey as y from supplier) b",
     "join_right_outer": "select s.s_suppkey, n.n_name from supplier s right join nation n on s.s_nationkey=n.n_nationkey and s.s_acctbal>0",
-    "group_rollup": "select l_returnflag, l_linestatus, count(*) as c, grouping(l_linestatus) as g from lineitem group by rollup(l_returnflag, l_linestatus)",
+    "group_rollup": "select l_returnflag, l_linestatus, count(*) as c, cast(grouping(l_linestatus) as int) as g from lineitem group by rollup(l_returnflag, l_linestatus)",
     "group_cube": "select o_orderstatus, o_orderpriority, count(*) as c, round(sum(o_totalprice),2) as s from orders group by cube(o_orderstatus, o_orderpriority)",
     "group_sets": "select o_orderstatus, o_orderpriority, count(*) as c from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
     "agg_spread": "select l_returnflag, round(stddev_samp(l_quantity),6) as sd, round(var_pop(l_quantity),6) as v from lineitem group by l_returnflag",
@@ -94,8 +94,8 @@ SQL = {
     "order_nulls_first": "select c_custkey, o_orderkey from customer left join orders on c_custkey=o_custkey and o_totalprice>300000 order by o_orderkey nulls first, c_custkey limit 20",
     "order_nulls_last": "select c_custkey, o_orderkey from customer left join orders on c_custkey=o_custkey and o_totalprice>300000 order by o_orderkey desc nulls last, c_custkey limit 20",
     "fn_string": "select c_custkey, upper(c_name) as u, lower(c_mktsegment) as l, length(c_name) as n, substring(c_name,1,3) as s, concat(c_name,'/',c_mktsegment) as c, replace(c_name,'0','-') as r, trim(concat('  ',c_name,' ')) as t, lpad(c_mktsegment,12,'*') as p, reverse(c_name) as b from customer",
-    "fn_date": "select o_orderkey, cast(extract(year from o_orderdate) as int) as y, cast(extract(month from o_orderdate) as int) as m, cast(extract(day from o_orderdate) as int) as d, cast(extract(quarter from o_orderdate) as int) as q, date_trunc('month', o_orderdate) as t from orders",
-    "fn_math": "select o_orderkey, abs(-o_totalprice) as a, floor(o_totalprice) as f, ceil(o_totalprice) as c, round(sqrt(o_totalprice),6) as r, round(power(o_totalprice,2),2) as p, round(ln(o_totalprice),9) as n, sign(o_totalprice-100000) as s from orders",
+    "fn_date": "select o_orderkey, cast(extract(year from o_orderdate) as int) as y, cast(extract(month from o_orderdate) as int) as m, cast(extract(day from o_orderdate) as int) as d, cast(extract(quarter from o_orderdate) as int) as q, cast(cast(date_trunc('month', o_orderdate) as date) as string) as t from orders",
+    "fn_math": "select o_orderkey, abs(-o_totalprice) as a, cast(floor(o_totalprice) as bigint) as f, cast(ceil(o_totalprice) as bigint) as c, round(sqrt(o_totalprice),6) as r, round(power(o_totalprice,2),2) as p, round(ln(o_totalprice),9) as n, cast(sign(o_totalprice-100000) as int) as s from orders",
     "fn_null": "select c_custkey, coalesce(nullif(c_mktsegment,'BUILDING'),'none') as s, greatest(c_acctbal,0) as g, least(c_acctbal,0) as l from customer",
     "window_rank": "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r, round(sum(o_totalprice) over (partition by o_custkey order by o_orderkey),2) as s from orders",
     "with_query": "with big as (select o_custkey as k, count(*) as c from orders group by o_custkey having count(*)>10) select c_name, c from big, customer where k=c_custkey",

@@ -84,7 +84,7 @@ def _sink(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", F.to_date("l_shipdate").alias("l_shipdate"), F.when(F.col("l_linenumber") > 3, F.lit('a "b')).alias("note"))
     out = files.work_folder(spark, "sink")
     write_pipe(rows, out)
-    return read_pipe(spark, out, rows.schema)
+    return read_pipe(spark, out, rows.schema).withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 def _stored(spark, sf_dir) -> DataFrame:
@@ -122,7 +122,7 @@ QUERIES = {
     "statement_compaction": (_compacted, CHANGED),
     "statement_reload": (_reloaded, CHANGED),
     "statement_join": (_statement_join, "select n_name as nation, count(*) as n, round(sum(s_acctbal),2) as s from supplier, nation where s_nationkey=n_nationkey and not s_acctbal<0 group by n_name having count(*)>1"),
-    "sink_pipe": (_sink, "select l_orderkey, l_linenumber, l_extendedprice, l_returnflag, cast(l_shipdate as date) as l_shipdate, case when l_linenumber>3 then 'a \"b' end as note from lineitem"),
+    "sink_pipe": (_sink, "select l_orderkey, l_linenumber, l_extendedprice, l_returnflag, cast(cast(l_shipdate as date) as string) as l_shipdate, case when l_linenumber>3 then 'a \"b' end as note from lineitem"),
     "stored_scan": (lambda spark, sf_dir: _stored(spark, sf_dir).select("o_orderkey", "o_custkey", "o_totalprice"), "select o_orderkey, o_custkey, o_totalprice from orders"),
     "stored_point_lookup": (lambda spark, sf_dir: op.lookup(_stored(spark, sf_dir), "o_orderkey", 7).select("o_orderkey", "o_totalprice"), _ORDERS + "o_orderkey=7"),
     "stored_range_lookup": (lambda spark, sf_dir: op.lookup(_stored(spark, sf_dir), "o_orderkey", low=100, high=200).select("o_orderkey", "o_totalprice"), _ORDERS + "o_orderkey>100 and o_orderkey<=200"),
