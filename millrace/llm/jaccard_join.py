@@ -315,10 +315,16 @@ def _cut(n, block: int, most: int | None = None, many: int = 0):
 
 
 def _units(placed: DataFrame, group: str, *more: str) -> DataFrame:
-    """One row for each pair of blocks that a row of placed (group, blocks, block, node) belongs to."""
+    """One row for each pair of blocks that a row of placed (group, blocks, block, node) belongs to, with the rows of a pair together.
+
+    A group's pairs of blocks are numbered and dealt one after the other, so that a large group is as many rows in every task.
+    """
+    spark = placed.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = units.select(group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *more)
-    return units.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
+    units = units.select(group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "blocks", *more)
+    number = F.expr(f"xxhash64({group}) % {n} + (low * blocks - low * (low - 1) div 2 + high - low) % {n}")
+    return units.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(group, "low", "high").drop("blocks")
 
 
 def _text_key():
