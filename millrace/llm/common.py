@@ -140,6 +140,7 @@ def worker_state(key, make):
         _STATE.clear()
         release_memory()
         _STATE[key] = make()
+        release_memory()
     return _STATE[key]
 
 
